@@ -7,15 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace in the Unicode sense; the default Java class is ASCII only and would
-# leave no-break spaces, which web pages are full of.
-_SPACE = r"[\s\x1c-\x1f\u0085\p{Z}]"
+# Whitespace in the Unicode sense. Trimming spaces only would leave no-break spaces and line
+# ends, which web pages are full of.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The guards keep out what Spark alone would accept (1.0d), and spare the cast of plain words:
+# a failing try_cast raises and catches an exception per row, some 20 times the cost of a match.
+_INTEGER = "^[+-]?0*[0-9]{1,10}$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace, no-break spaces included."""
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def remove_chars(text: Column, chars: str) -> Column:
@@ -23,7 +29,8 @@ def remove_chars(text: Column, chars: str) -> Column:
 
 
 def safe_int(text: Column) -> Column:
-    return strip(text).try_cast("int")
+    cleaned = strip(text)
+    return F.when(cleaned.rlike(_INTEGER), cleaned.try_cast("int"))
 
 
 def safe_double(text: Column) -> Column:
@@ -60,8 +67,9 @@ def discount(text: Column) -> Column:
 
 
 def last_token_int(text: Column) -> Column:
-    tokens = F.split(strip(text), f"{_SPACE}+")
-    return safe_int(F.try_element_at(tokens, F.lit(-1)))
+    # With one kind of space, the last token is what follows the last space.
+    spaced = strip(F.translate(text, _SPACES, " " * len(_SPACES)))
+    return safe_int(F.substring_index(spaced, " ", -1))
 
 
 def rating_value(text: Column) -> Column:
@@ -69,16 +77,15 @@ def rating_value(text: Column) -> Column:
     return safe_double(F.substring(text, 1, 3))
 
 
-def rating_rest(text: Column) -> Column:
+def _rating_rest(text: Column) -> Column:
     """``4.9(123)`` to ``123``: everything after the value, without parentheses."""
-    rest = F.substring(text, F.lit(5), F.greatest(F.length(text) - 4, F.lit(0)))
-    return strip(remove_chars(rest, "()"))
+    return remove_chars(F.substring(text, F.lit(5), F.greatest(F.length(text) - 4, F.lit(0))), "()")
 
 
 def rating_count(text: Column) -> Column:
-    return safe_int(rating_rest(text))
+    return safe_int(_rating_rest(text))
 
 
 def rating_count_text(text: Column) -> Column:
     """The count part kept as text (``5.5k reviews``); NULL when there is none."""
-    return F.when(F.length(text) > 4, rating_rest(text))
+    return F.when(F.length(text) > 4, strip(_rating_rest(text)))

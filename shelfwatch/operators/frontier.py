@@ -86,11 +86,13 @@ def unseen_urls(urls: DataFrame, known: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, key: str, start: Column, name: str = "id", buckets: int = 4096) -> DataFrame:
     """Consecutive numbers after ``start`` for rows with distinct keys, without a global sort.
 
-    Rows are hashed into ``buckets`` and numbered inside them; bucket offsets are running sums
-    over at most ``buckets`` counts. Numbers depend on the data only, so a re-run task gives the
-    same ones.
+    Rows are hashed into ``buckets`` (a power of two) and numbered inside them; bucket offsets
+    are running sums over at most ``buckets`` counts. Numbers depend on the data only, so a
+    re-run task gives the same ones.
     """
-    hashed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
+    hashed = df.withColumn("_bucket", F.xxhash64(key).bitwiseAND(buckets - 1))
     counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # A window without partitions, over at most ``buckets`` rows.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

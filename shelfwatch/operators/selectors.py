@@ -1,7 +1,8 @@
 """Raw text of page elements, one column per selector.
 
-This is the only Python that touches rows: it tokenises a page with the standard library
-and returns text. All typing and cleaning happens later, in Column expressions.
+This is the only Python that touches rows: it tokenises a page and returns text. All typing
+and cleaning happens later, in Column expressions. Pages of regular markup take a quick
+tokeniser; the first irregularity hands the page to the standard library's.
 
 Element tree rules are those of a lenient tree builder without implied end tags: an end tag
 closes the nearest open element of its name and everything inside it, an end tag without an
@@ -10,9 +11,11 @@ open element is ignored, and elements left open run to the end of their parent.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -83,49 +86,56 @@ class _Span:
         self.following = None
 
 
-class _Reader(HTMLParser):
+class _Reader:
+    """Follows the open elements of a page and notes the text range of each wanted one."""
+
     def __init__(self, selectors):
-        super().__init__(convert_charrefs=True)
         self.by_tag = {}
+        self.containers = {}
         for name, selector in selectors.items():
             self.by_tag.setdefault(selector.tag, []).append((name, selector))
-        self.containers = {s.inside for s in selectors.values() if s.inside is not None}
+            if selector.inside is not None:
+                self.containers.setdefault(selector.inside.tag, set()).add(selector.inside)
         self.container_spans = {}
         self.found = {name: [] for name in selectors}
         self.texts = []        # stripped, non-empty strings in document order
         self.pending = []      # pieces of the string being read
-        self.stack = [("", [], {})]  # open elements: tag, spans to close, last pair span by name
+        self.stack = [("", (), {})]  # open elements: tag, spans to close, last pair span by name
         self.open_count = {}
         self.hidden = 0
 
-    # -- strings ----------------------------------------------------------------------
+    def data(self, text):
+        self.pending.append(text)
+
     def flush(self):
+        """Any markup ends the string being read."""
         if self.pending:
             text = "".join(self.pending).strip()
             self.pending.clear()
             if text and not self.hidden:
                 self.texts.append(text)
 
-    def handle_data(self, data):
-        self.pending.append(data)
-
-    def handle_comment(self, data):
-        self.flush()
-
-    handle_decl = handle_pi = handle_comment
-
-    def unknown_decl(self, data):
-        self.flush()
-        if data.upper().startswith("CDATA["):
-            self.pending.append(data[6:])
+    def start(self, tag, attrs, closed=False):
+        """``attrs`` is a function: most elements need none."""
+        if self.pending:
             self.flush()
+        closing = ()
+        if tag in self.by_tag or tag in self.containers:
+            closing = self._match(tag, attrs())
+        if tag in VOID_TAGS:
+            for span in closing:
+                span.end = len(self.texts)
+            return
+        self.stack.append((tag, closing, {}))
+        self.open_count[tag] = self.open_count.get(tag, 0) + 1
+        if tag in HIDDEN_TEXT_TAGS:
+            self.hidden += 1
+        if closed:
+            self.end(tag)
 
-    # -- elements ---------------------------------------------------------------------
-    def handle_starttag(self, tag, attrs):
-        self.flush()
+    def _match(self, tag, attrs):
         here = len(self.texts)
         closing = []
-        values = None
         for name, selector in self.by_tag.get(tag, ()):
             if selector.take == "first" and self.found[name]:
                 continue
@@ -133,12 +143,10 @@ class _Reader(HTMLParser):
                 box = self.container_spans.get(selector.inside)
                 if box is None or box.end is not None:
                     continue
-            if values is None:
-                values = {k: v or "" for k, v in attrs}
-            if not selector.matches(values):
+            if not selector.matches(attrs):
                 continue
             if selector.take == "attribute":
-                self.found[name].append(values.get(selector.name))
+                self.found[name].append(attrs.get(selector.name))
                 continue
             span = _Span(here)
             closing.append(span)
@@ -148,34 +156,19 @@ class _Reader(HTMLParser):
                 if name in siblings:
                     siblings[name].following = span
                 siblings[name] = span
-        for container in self.containers:
-            if container.tag == tag and container not in self.container_spans:
-                if container.matches({k: v or "" for k, v in attrs}):
-                    span = _Span(here)
-                    closing.append(span)
-                    self.container_spans[container] = span
-        if tag in VOID_TAGS:
-            for span in closing:
-                span.end = here
-            return
-        self.stack.append((tag, closing, {}))
-        self.open_count[tag] = self.open_count.get(tag, 0) + 1
-        if tag in HIDDEN_TEXT_TAGS:
-            self.hidden += 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self.flush()
-        if not self.open_count.get(tag):
-            return
-        while True:
-            name = self._close_last()
-            if name == tag:
-                return
+        for container in self.containers.get(tag, ()):
+            if container not in self.container_spans and container.matches(attrs):
+                span = _Span(here)
+                closing.append(span)
+                self.container_spans[container] = span
+        return closing
+
+    def end(self, tag):
+        if self.pending:
+            self.flush()
+        if self.open_count.get(tag):
+            while self._close_last() != tag:
+                pass
 
     def _close_last(self):
         name, closing, _ = self.stack.pop()
@@ -186,9 +179,7 @@ class _Reader(HTMLParser):
             self.hidden -= 1
         return name
 
-    # -- results ----------------------------------------------------------------------
     def finish(self):
-        self.close()
         self.flush()
         while len(self.stack) > 1:
             self._close_last()
@@ -197,12 +188,112 @@ class _Reader(HTMLParser):
         return None if span is None else "".join(self.texts[span.start:span.end])
 
 
+class _Tolerant(HTMLParser):
+    """The standard tokeniser, for pages with irregular markup."""
+
+    def __init__(self, reader):
+        super().__init__(convert_charrefs=True)
+        self.reader = reader
+        self.handle_data = reader.data
+        self.handle_endtag = reader.end
+
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed, and counting them costs time
+
+    def handle_starttag(self, tag, attrs):
+        self.reader.start(tag, lambda: {k: v or "" for k, v in attrs})
+
+    def handle_startendtag(self, tag, attrs):
+        self.reader.start(tag, lambda: {k: v or "" for k, v in attrs}, closed=True)
+
+    def handle_comment(self, data):
+        self.reader.flush()
+
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data):
+        self.reader.flush()
+        if data.upper().startswith("CDATA["):
+            self.reader.data(data[6:])
+            self.reader.flush()
+
+
+# Regular markup: everything the quick tokeniser accepts, and nothing that needs recovery.
+_GAP = r"[\t\n\r\f ]"
+_NAME = r"[a-zA-Z][a-zA-Z0-9:_-]*"
+_ATTRIBUTE_NAME = r"""[^\s"'<>/=]+"""
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'<>=`/]+)"""
+_MARKUP = re.compile(
+    rf"<(?:({_NAME})((?:{_GAP}+{_ATTRIBUTE_NAME}(?:{_GAP}*={_GAP}*{_VALUE})?)*){_GAP}*(/?)>"
+    rf"|/({_NAME}){_GAP}*>"
+    r"|!--(?!-?>)(?:[^-]|-(?!-))*-->"
+    r"""|![dD][oO][cC][tT][yY][pP][eE][^<>"'\[\]]*>)""")
+_ATTRIBUTES = re.compile(rf"{_GAP}+({_ATTRIBUTE_NAME})(?:{_GAP}*={_GAP}*({_VALUE}))?")
+_RAW_TEXT = {tag: re.compile(f"<!--|</{tag}{_GAP}*>", re.IGNORECASE) for tag in ("script", "style")}
+# Elements whose content tokenisers may treat as text: regular only when no markup is inside.
+_TEXT_ONLY = frozenset("title textarea xmp iframe noembed noframes noscript".split())
+
+
+def _attributes(raw):
+    values = {}
+    for name, value in _ATTRIBUTES.findall(raw):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        values[name.lower()] = unescape(value) if "&" in value else value
+    return values
+
+
+def _read_regular(html, reader) -> bool:
+    """Tokenise a page of regular markup; False as soon as something else turns up."""
+    position = 0
+    while True:
+        opening = html.find("<", position)
+        text = html[position:] if opening < 0 else html[position:opening]
+        if text:
+            reader.data(unescape(text) if "&" in text else text)
+        if opening < 0:
+            return True
+        token = _MARKUP.match(html, opening)
+        if token is None:
+            return False
+        position = token.end()
+        tag, raw, slash, ending = token.groups()
+        if tag is not None:
+            tag = tag.lower()
+            reader.start(tag, lambda: _attributes(raw), closed=bool(slash))
+            if tag in _RAW_TEXT:
+                stop = None if slash else _RAW_TEXT[tag].search(html, position)
+                if stop is None or stop.group() == "<!--":
+                    return False
+                reader.data(html[position:stop.start()])
+                position = stop.start()
+            elif tag in _TEXT_ONLY:
+                following = html.find("<", position)
+                if slash or not html[following:following + 2 + len(tag)].lower() == f"</{tag}":
+                    return False
+            elif tag == "plaintext":
+                return False
+        elif ending is not None:
+            reader.end(ending.lower())
+        else:
+            reader.flush()
+
+
+def _read(html, selectors, regular=True):
+    reader = _Reader(selectors)
+    if not (regular and _read_regular(html, reader)):
+        reader = _Reader(selectors)
+        tokens = _Tolerant(reader)
+        tokens.feed(html)
+        tokens.close()
+    reader.finish()
+    return reader
+
+
 def read_page(html: str | None, selectors: Mapping[str, Selector]) -> dict:
     """Raw texts of one page. A page that cannot be read gives NULL for every selector."""
     try:
-        reader = _Reader(selectors)
-        reader.feed(html)
-        reader.finish()
+        reader = _read(html, selectors)
     except Exception:
         return {name: None for name in selectors}
     row = {}

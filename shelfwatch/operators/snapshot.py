@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def _match(columns: dict[str, str]):
+    """Null-safe equality of column pairs."""
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in columns.items()])
+
+
 def latest_snapshot(
     df: DataFrame,
     keys: Sequence[str] = ("urlId",),
@@ -33,10 +38,9 @@ def latest_snapshot(
     if ties != "keep":
         raise ValueError("ties must be 'keep' or 'one'")
     newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
-    newest = newest.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_newest")
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    same.append(F.col(ts).eqNullSafe(F.col("_newest")))
-    return df.join(newest, reduce(lambda a, b: a & b, same), "left_semi")
+    renamed = {k: f"_key_{k}" for k in keys}
+    newest = newest.select(*[F.col(k).alias(r) for k, r in renamed.items()], "_newest")
+    return df.join(newest, _match({**renamed, ts: "_newest"}), "left_semi")
 
 
 def snapshot_change(
@@ -47,37 +51,39 @@ def snapshot_change(
     tie_break: Sequence[str] = (),
     deltas: Sequence[str] = (),
     bucket: str = "hour",
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the key's preceding snapshot and ``<column>_delta``.
 
-    The history of a key is cut into time buckets. Inside a bucket the previous row is a plain
-    ``lag``; the first row of a bucket takes the last row of the key's preceding bucket, which
-    travels in a summary with one row per key and bucket. The wide rows are shuffled once, by
-    key and bucket, so a hot key is spread over its buckets, and the summary of one key is
-    bounded by elapsed time rather than by its number of rows. Choose the bucket so that one
-    bucket of the hottest key fits a task.
+    An ordinary key is one window group. A key with more than ``hot_rows`` rows is cut into time
+    buckets: inside a bucket the previous row is a plain ``lag``, and the first row of a bucket
+    takes the last row of the key's preceding bucket from a summary, which has one row per
+    bucket and is thus bounded by elapsed time. Choose ``bucket`` so that one bucket of the
+    hottest key fits a task. The wide rows are shuffled once, by key and bucket.
     """
     order = [ts, *tie_break]
-    bucketed = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-    values = F.struct(*columns)
+    renamed = {k: f"_key_{k}" for k in keys}
+    # At most (rows of the table / hot_rows) keys pass the filter, which bounds the broadcast.
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+           .select(*[F.col(k).alias(r) for k, r in renamed.items()], F.lit(True).alias("_hot")))
+    tagged = df.join(F.broadcast(hot), _match(renamed), "left").select(
+        *df.columns, F.when(F.col("_hot"), F.date_trunc(bucket, F.col(ts))).alias("_bucket"))
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    rows = (bucketed
-            .withColumn("_first", F.row_number().over(inside) == 1)
-            .withColumn("_inside", F.lag(values).over(inside)))
+    rows = (tagged
+            .withColumn("_inside", F.lag(F.struct(*columns)).over(inside))
+            .withColumn("_first", F.row_number().over(inside) == 1))
 
-    last = bucketed.groupBy(*keys, "_bucket").agg(F.max(F.struct(*order, *[
-        F.col(c).alias(f"_value_{c}") for c in columns])).alias("_last"))
+    last = tagged.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(
+        F.max(F.struct(*order, *[F.col(c).alias(f"_value_{c}") for c in columns])).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carry = last.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        *[F.col(k).alias(r) for k, r in renamed.items()],
         F.col("_bucket").alias("_key_bucket"),
         F.lag("_last").over(across).alias("_carry"),
     ).where(F.col("_carry").isNotNull())
 
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    same.append(F.col("_bucket").eqNullSafe(F.col("_key_bucket")))
-    joined = rows.join(carry, reduce(lambda a, b: a & b, same), "left")
+    joined = rows.join(carry, _match(renamed) & (F.col("_bucket") == F.col("_key_bucket")), "left")
     previous = [
         F.when(F.col("_first"), F.col("_carry")[f"_value_{c}"]).otherwise(F.col("_inside")[c]).alias(f"prev_{c}")
         for c in columns

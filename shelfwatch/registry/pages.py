@@ -107,6 +107,9 @@ def product_pages(spark, d):
     totals = table(spark, d, "lineitem").groupBy("l_partkey").agg(
         F.sum("l_quantity").cast("int").alias("units"), F.count(F.lit(1)).alias("lines"))
     parts = table(spark, d, "part").join(totals, F.col("p_partkey") == F.col("l_partkey"))
+    # Parsing costs far more than these rows weigh, so do not let small partitions be merged.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = parts.repartition(tasks)
 
     def element(tag, attrs, text):
         return F.concat(F.lit(f"<{tag}{' ' + attrs if attrs else ''}>"), text, F.lit(f"</{tag}>"))

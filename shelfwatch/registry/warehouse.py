@@ -24,7 +24,6 @@ from shelfwatch.session import scratch_path
 from shelfwatch.sources.lake import append_lake, read_day
 from shelfwatch.sources.warehouse import overwrite_table, read_dimension, read_fact
 
-_SNAPSHOT_COLUMNS = ("url_id", "seller_id", "sold", "price", "ts")
 _SQL_SNAPSHOT = f"url_id, seller_id, sold, price, {sql_stamp('ts')} AS ts"
 
 
@@ -50,21 +49,34 @@ def latest_snapshot_one(spark, d):
     return _snapshot_columns(latest_snapshot(fact(spark, d), ties="one", tie_break=FACT_ORDER))
 
 
-@query("snapshot_change", f"""
+_SQL_CHANGE = f"""
 WITH {SQL_FACT}
 SELECT url_id, order_no, line_no, {sql_stamp('ts')} AS ts, price, seller_id,
        lag(price) OVER w AS prev_price, lag(seller_id) OVER w AS prev_seller,
        round(price - lag(price) OVER w, 4) AS price_delta
-FROM fact WINDOW w AS (PARTITION BY url_id ORDER BY ts, {SQL_FACT_ORDER})""")
-def snapshot_change_query(spark, d):
+FROM fact WINDOW w AS (PARTITION BY url_id ORDER BY ts, {SQL_FACT_ORDER})"""
+
+
+def _change(spark, d, **options):
     rows = snapshot_change(fact(spark, d), ["price", "sellerId"], tie_break=FACT_ORDER,
-                           deltas=["price"], bucket="month")
+                           deltas=["price"], **options)
     return rows.select(
         F.col("urlId").alias("url_id"), F.col("orderNo").alias("order_no"), F.col("lineNo").alias("line_no"),
         stamp("timestamp").alias("ts"), "price", F.col("sellerId").alias("seller_id"), "prev_price",
         F.col("prev_sellerId").alias("prev_seller"), F.round("price_delta", 4).alias("price_delta"))
 
 
+@query("snapshot_change", _SQL_CHANGE)
+def snapshot_change_query(spark, d):
+    return _change(spark, d)
+
+
+@query("snapshot_change_hot", _SQL_CHANGE)
+def snapshot_change_hot(spark, d):
+    """The same answer with about half of the products treated as hot."""
+    return _change(spark, d, bucket="month", hot_rows=30)
+
+
 def _sql_dim(key, columns, source="newest", lowest=True):
     """First row per key: newest, then lowest url_id, then greatest values."""
     order = "ts DESC, " + ("url_id, " if lowest else "") + ", ".join(f"{c} DESC NULLS LAST" for c in columns)
