@@ -81,14 +81,14 @@ def description_of(paragraphs: Column) -> Column:
 
 
 def normalize(raw: DataFrame, labels: DetailLabels = DetailLabels()) -> DataFrame:
-    """Raw selector texts to the crawl-row contract. Absent selectors count as missing text."""
+    """Raw selector texts of ``urlId`` to the crawl-row contract; absent selectors are missing text."""
     def c(name, dtype="string"):
         return F.col(name) if name in raw.columns else F.lit(None).cast(dtype)
 
     details = classify_details(c("details", "array<struct<k:string,v:string>>"), labels)
     tree = c("breadcrumbs", "array<string>")
     rows = raw.select(
-        T.safe_int(F.col("urlId")).alias("urlId"),
+        F.col("urlId"),
         c("title").alias("title"),
         c("brand").alias("brand"),
         T.money(c("price")).alias("price"),
@@ -118,7 +118,7 @@ def extract_products(
 
     Rows without an integer id are dropped before the page is parsed.
     """
-    valid = messages.where(T.safe_int(F.col("urlId")).isNotNull())
+    valid = messages.withColumn("urlId", T.safe_int(F.col("urlId"))).where(F.col("urlId").isNotNull())
     raw = select_texts(valid, selectors, html="html", keep=("urlId", "timestamp"))
     return normalize(raw, labels)
 
