@@ -13,6 +13,10 @@ def _match(columns: dict[str, str]):
     return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in columns.items()])
 
 
+def _equal(columns: dict[str, str]):
+    return reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in columns.items()])
+
+
 def latest_snapshot(
     df: DataFrame,
     keys: Sequence[str] = ("urlId",),
@@ -59,14 +63,16 @@ def snapshot_change(
     buckets: inside a bucket the previous row is a plain ``lag``, and the first row of a bucket
     takes the last row of the key's preceding bucket from a summary, which has one row per
     bucket and is thus bounded by elapsed time. Choose ``bucket`` so that one bucket of the
-    hottest key fits a task. The wide rows are shuffled once, by key and bucket.
+    hottest key fits a task. The wide rows are shuffled once, by key and bucket. A NULL key is
+    never hot.
     """
     order = [ts, *tie_break]
     renamed = {k: f"_key_{k}" for k in keys}
     # At most (rows of the table / hot_rows) keys pass the filter, which bounds the broadcast.
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = (df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+           .where(F.col("_rows") > hot_rows)
            .select(*[F.col(k).alias(r) for k, r in renamed.items()], F.lit(True).alias("_hot")))
-    tagged = df.join(F.broadcast(hot), _match(renamed), "left").select(
+    tagged = df.join(F.broadcast(hot), _equal(renamed), "left").select(
         *df.columns, F.when(F.col("_hot"), F.date_trunc(bucket, F.col(ts))).alias("_bucket"))
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -83,7 +89,8 @@ def snapshot_change(
         F.lag("_last").over(across).alias("_carry"),
     ).where(F.col("_carry").isNotNull())
 
-    joined = rows.join(carry, _match(renamed) & (F.col("_bucket") == F.col("_key_bucket")), "left")
+    # Plain equality on the window's own keys: the wide side keeps its partitioning and order.
+    joined = rows.join(carry, _equal({**renamed, "_bucket": "_key_bucket"}), "left")
     previous = [
         F.when(F.col("_first"), F.col("_carry")[f"_value_{c}"]).otherwise(F.col("_inside")[c]).alias(f"prev_{c}")
         for c in columns

@@ -27,6 +27,8 @@ def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, t
     # Four writes read it; lost blocks are recomputed from the lake.
     snapshot = snapshot.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if snapshot.isEmpty():
+            raise ValueError(f"the lake has no rows for {day}")
         load_fact(snapshot_fact(derive_keys(snapshot)), f"{warehouse}/productSnapshotFact")
         for name, (_, key, build) in DIMENSIONS.items():
             replace_dimension(spark, warehouse, name,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,19 +16,39 @@ def read_lake(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LAKE_ROW).parquet(root)
 
 
+def _has_commit_log(spark: SparkSession, root: str) -> bool:
+    """Whether a stream wrote the lake; readers of its root then see finished batches only."""
+    try:
+        spark.read.text(f"{root.rstrip('/')}/_spark_metadata")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def read_day(spark: SparkSession, root: str, day: date | str) -> DataFrame:
     """One day, ``date`` column included.
 
-    Only that day's folder is listed; with thousands of days, listing the whole lake to prune
-    it again would cost more than reading the day.
+    A streamed lake is read through its commit log and pruned, so files of failed or running
+    batches stay out. A lake without a log is read from the folder of the day alone: listing
+    thousands of days to prune them again would cost more than reading one.
     """
+    if _has_commit_log(spark, root):
+        return read_lake(spark, root).where(F.col("date") == F.lit(str(day)).cast("date"))
     path = f"{root.rstrip('/')}/date={day}"
     return spark.read.schema(LAKE_ROW).option("basePath", root).parquet(path)
 
 
-def write_lake_stream(rows: DataFrame, path: str, checkpoint: str,
-                      trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream of lake rows by date. The file sink's commit log makes it exactly-once."""
+def write_lake_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                      files: int | None = None) -> StreamingQuery:
+    """Append a stream of lake rows by date. The file sink's commit log makes it exactly-once.
+
+    Every task of a micro-batch writes a file per date it meets. With many small tasks, ``files``
+    gathers a batch into that many tasks after the parsing.
+    """
+    if files is not None:
+        rows = rows.repartition(files)
     return (rows.writeStream.format("parquet")
             .option("path", path)
             .option("checkpointLocation", checkpoint)
@@ -38,7 +59,7 @@ def write_lake_stream(rows: DataFrame, path: str, checkpoint: str,
 
 
 def append_lake(rows: DataFrame, path: str) -> None:
-    """Batch counterpart of the stream sink, for backfills.
+    """Batch counterpart of the stream sink, for lakes that no stream writes.
 
     Rebalancing by date avoids a file per task and date, and still splits a large date.
     """

@@ -32,9 +32,9 @@ def load_fact(fact: DataFrame, path: str) -> None:
     """Replace exactly the days the frame holds; other days stay.
 
     Range partitioning by the sort key gives files with disjoint product ranges, so readers skip
-    files by their statistics, and cuts a hot product by timestamp.
+    files by their statistics, and cuts a hot product by timestamp and then by its values.
     """
-    (fact.repartitionByRange("date", "urlId", "timestamp")
+    (fact.repartitionByRange("date", "urlId", "timestamp", "sellerId", "price", "sold")
          .sortWithinPartitions("date", "urlId", "timestamp")
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")

@@ -27,6 +27,7 @@ def run_extract_stream(
     selectors: Mapping[str, Selector] = PRODUCT_SELECTORS,
     labels: DetailLabels = DetailLabels(),
     zone: str | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Start the extraction. Restarting with the same checkpoint resumes without duplicates."""
-    return write_lake_stream(lake_rows(messages, selectors, labels, zone), path, checkpoint, trigger)
+    return write_lake_stream(lake_rows(messages, selectors, labels, zone), path, checkpoint, trigger, files)

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.operators.align import align_mean
+from shelfwatch.plans.daily_load import run_daily
 from shelfwatch.schemas import MESSAGE
-from shelfwatch.sources.lake import read_lake
+from shelfwatch.sources.lake import read_day, read_lake
 from shelfwatch.sources.messages import read_crawl_stream
 from shelfwatch.streaming.align_stream import align_stream, write_series_stream
 from shelfwatch.streaming.extract_stream import lake_rows, run_extract_stream
@@ -36,6 +38,13 @@ def test_extract_stream_equals_batch_and_restarts(spark, tmp_path):
     write_messages(spark, source, 40, 20)
     assert run() == [i for i in range(60) if i % 5]
 
+    # A file that no finished batch owns, as a failed task leaves behind, is not part of the lake.
+    day = read_day(spark, lake, "2026-01-02").count()
+    spark.read.parquet(lake + "/date=2026-01-02").write.mode("append").parquet(lake + "/date=2026-01-02")
+    assert read_day(spark, lake, "2026-01-02").count() == day == 19
+    with pytest.raises(ValueError, match="no rows"):
+        run_daily(spark, lake, str(tmp_path / "warehouse"), "2025-01-01")
+
     columns = ["urlId", "title", "price", "sellPrice", "timestamp", "date"]
     batch = lake_rows(spark.read.parquet(source)).select(columns).collect()
     assert sorted(read_lake(spark, lake).select(columns).collect()) == sorted(batch)
