@@ -72,15 +72,18 @@ def snapshot_change(
     hot = (df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > hot_rows)
            .select(*[F.col(k).alias(r) for k, r in renamed.items()], F.lit(True).alias("_hot")))
-    tagged = df.join(F.broadcast(hot), _equal(renamed), "left").select(
-        *df.columns, F.when(F.col("_hot"), F.date_trunc(bucket, F.col(ts))).alias("_bucket"))
+    hot = F.broadcast(hot)
+    in_bucket = F.date_trunc(bucket, F.col(ts)).alias("_bucket")
+    tagged = df.join(hot, _equal(renamed), "left").select(
+        *df.columns, F.when(F.col("_hot"), in_bucket).alias("_bucket"))
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     rows = (tagged
             .withColumn("_inside", F.lag(F.struct(*columns)).over(inside))
             .withColumn("_first", F.row_number().over(inside) == 1))
 
-    last = tagged.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(
+    # An inner join: without hot keys the whole branch is empty and is not run.
+    last = df.join(hot, _equal(renamed)).select(*df.columns, in_bucket).groupBy(*keys, "_bucket").agg(
         F.max(F.struct(*order, *[F.col(c).alias(f"_value_{c}") for c in columns])).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carry = last.select(

@@ -107,6 +107,23 @@ def top_sold_sellers(fact: DataFrame, seller_dim: DataFrame, n: int, history: bo
     return _top_sold(countable_fact(fact, history, as_of), seller_dim, "sellerId", "seller", n)
 
 
+# The column titles of the reports.
+TITLES = {
+    "category": "Category",
+    "products": "Count",
+    "title": "Product",
+    "seller_count": "Seller Count",
+    "brand": "Brand",
+    "seller": "Seller",
+    "sold": "Sold",
+}
+
+
+def with_titles(report: DataFrame) -> DataFrame:
+    """A report under the column titles it is shown with."""
+    return report.withColumnsRenamed({c: TITLES[c] for c in report.columns if c in TITLES})
+
+
 # The reports as SQL over named tables, with N as a parameter.
 REPORT_SQL = {
     "total_products": "SELECT count(*) AS total_products FROM {productDim}",

@@ -123,6 +123,12 @@ def top_sold_sellers_as_of(spark, d):
     return R.top_sold_sellers(fact(spark, d), seller_rows(spark, d), 10, as_of="1998-06-30")
 
 
+@query("titled_report", f"""
+WITH {_SQL_SELLERS} SELECT seller AS "Seller", sold AS "Sold" FROM ({_top_sold_sql('seller', 'sellers')})""")
+def titled_report(spark, d):
+    return R.with_titles(R.top_sold_sellers(fact(spark, d), seller_rows(spark, d), 10, history=True))
+
+
 def _sql_surface(name, sql, n=10):
     @query(f"sql_{name}", sql)
     def run(spark, d):

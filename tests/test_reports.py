@@ -89,3 +89,9 @@ def test_sql_surface_equals_functions(spark, star, n):
 def test_top_n_is_a_bounded_sort(star):
     plan = R.top_sold_sellers(star["productSnapshotFact"], star["sellerDim"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def test_titles(star):
+    assert R.with_titles(R.top_categories(star["productDim"], 1)).columns == ["Category", "Count"]
+    shown = R.with_titles(R.potential_products(star["productSnapshotFact"], star["productDim"], 1))
+    assert shown.columns == ["Product", "Sold", "Seller Count"]
