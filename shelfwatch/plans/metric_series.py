@@ -43,19 +43,21 @@ def metric_series(
     kind: str = "delta",
     zone: str | None = None,
     resource_type: str = RESOURCE_TYPE,
+    offset: str | None = None,
 ) -> DataFrame:
     """Aligned series ``(timestamp, instance_id, hostname, metric_value)`` of one metric.
 
     Counters of time spent are aligned as change, everything else as mean. ``kind`` says whether
     counter points hold changes or running totals. With ``zone`` the timestamp is wall clock
-    there. Names are looked up after alignment, on one row per bucket.
+    there. Buckets start at full periods, or ``offset`` later. Names are looked up after alignment,
+    on one row per bucket.
     """
     metric_type = metric_type.strip()
     raw = _labelled(read_points(points, metric_type, start, end, resource_type))
     if wants_delta(metric_type):
-        aligned = align_delta(raw, _SERIES, period=period, kind=kind)
+        aligned = align_delta(raw, _SERIES, period=period, kind=kind, offset=offset)
     else:
-        aligned = align_mean(raw, _SERIES, period=period)
+        aligned = align_mean(raw, _SERIES, period=period, offset=offset)
     named = with_hostnames(drop_null_points(aligned), hosts)
     stamp = F.col("timestamp") if zone is None else to_local(F.col("timestamp"), zone)
     return named.select(stamp.alias("timestamp"), "instance_id", "hostname", "metric_value")

@@ -19,9 +19,10 @@ from shelfwatch.registry import query
 from shelfwatch.registry.tables import table
 from shelfwatch.sources.messages import decode_messages, to_messages
 
-# The texts of the given pages carry character references; only &amp; occurs in headings.
-_SQL_TITLES = """
-SELECT page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS title FROM pages"""
+# Headings carry one character reference, and a cut-off heading may end in it without its
+# semicolon, which HTML reads the same.
+SQL_TITLE = "trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;?', '&', 'g'))"
+_SQL_TITLES = f"SELECT page_id, {SQL_TITLE} AS title FROM pages"
 
 
 @query("page_titles", _SQL_TITLES)
@@ -31,7 +32,7 @@ def page_titles(spark, d):
 
 @query("page_titles_flat", _SQL_TITLES)
 def page_titles_flat(spark, d):
-    title = F.replace(flat_tag_text(F.col("html"), "h1"), F.lit("&amp;"), F.lit("&"))
+    title = F.regexp_replace(flat_tag_text(F.col("html"), "h1"), "&amp;?", "&")
     return table(spark, d, "pages").select("page_id", title.alias("title"))
 
 

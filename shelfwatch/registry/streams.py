@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators.selectors import Selector
 from shelfwatch.registry import query
+from shelfwatch.registry.pages import SQL_TITLE
 from shelfwatch.registry.tables import sql_bucket_end, sql_stamp, stamp, table
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.lake import read_lake
@@ -23,9 +24,8 @@ def _finish(query_handle):
     query_handle.awaitTermination()
 
 
-@query("stream_extract", """
-SELECT CAST(page_id AS INTEGER) AS url_id,
-       trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS title,
+@query("stream_extract", f"""
+SELECT CAST(page_id AS INTEGER) AS url_id, {SQL_TITLE} AS title,
        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d') AS day
 FROM pages""")
 def stream_extract(spark, d):

@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fall back to a temporary folder; elsewhere a missing setting is an error, because a
     machine-local folder would be lost with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

@@ -10,7 +10,11 @@ from shelfwatch.schemas import MESSAGE
 
 
 def kafka_options(servers: str, topic: str, starting: str = "earliest", **more: str) -> dict[str, str]:
-    """Options of the topic source; pass e.g. ``maxOffsetsPerTrigger`` to bound a micro-batch."""
+    """Options of the topic source.
+
+    ``maxOffsetsPerTrigger`` bounds a micro-batch; ``minPartitions`` cuts a topic partition that
+    holds much of the topic, so that its pages are parsed by several tasks.
+    """
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
