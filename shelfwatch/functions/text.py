@@ -38,6 +38,17 @@ def safe_double(text: Column) -> Column:
     return F.when(cleaned.rlike(_NUMBER), cleaned.try_cast("double"))
 
 
+# The basic character references, the ampersand last, as it starts the others.
+BASIC_REFERENCES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;|&#x27;", "'"), ("&amp;?", "&"))
+
+
+def unescape_basic(text: Column) -> Column:
+    """Resolve the basic character references; like HTML, some of them without semicolon, too."""
+    for pattern, char in BASIC_REFERENCES:
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
 def contains(text: Column, part: str) -> Column:
     return F.contains(text, F.lit(part))
 

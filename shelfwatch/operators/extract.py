@@ -146,19 +146,23 @@ def extract_links(
     return links.where(F.col("href") != "")
 
 
+def _flat_text(text: Column) -> Column:
+    return T.strip(T.unescape_basic(text))
+
+
 def flat_tag_text(html: Column, tag: str) -> Column:
     """JVM fast path: text of the first ``<tag>`` that holds no other markup; NULL when absent.
 
-    Character references stay as written, so use it only where the text has none.
+    Of the character references, only the basic ones are resolved.
     """
     pattern = rf"(?s)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
-    return F.when(html.rlike(pattern), T.strip(F.regexp_extract(html, pattern, 1)))
+    return F.when(html.rlike(pattern), _flat_text(F.regexp_extract(html, pattern, 1)))
 
 
 def flat_tag_texts(html: Column, tag: str) -> Column:
     """JVM fast path: text of every ``<tag>`` that holds no other markup."""
     pattern = rf"(?s)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), T.strip)
+    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), _flat_text)
 
 
 def flat_links(html: Column, class_token: str | None = None) -> Column:

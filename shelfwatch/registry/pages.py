@@ -19,9 +19,15 @@ from shelfwatch.registry import query
 from shelfwatch.registry.tables import table
 from shelfwatch.sources.messages import decode_messages, to_messages
 
-# Headings carry one character reference, and a cut-off heading may end in it without its
-# semicolon, which HTML reads the same.
-SQL_TITLE = "trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;?', '&', 'g'))"
+def sql_text(text):
+    """Basic character references resolved; HTML reads those of a cut-off text the same."""
+    for pattern, char in T.BASIC_REFERENCES:
+        quoted = char.replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{quoted}', 'g')"
+    return f"trim({text})"
+
+
+SQL_TITLE = sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
 _SQL_TITLES = f"SELECT page_id, {SQL_TITLE} AS title FROM pages"
 
 
@@ -32,14 +38,14 @@ def page_titles(spark, d):
 
 @query("page_titles_flat", _SQL_TITLES)
 def page_titles_flat(spark, d):
-    title = F.regexp_replace(flat_tag_text(F.col("html"), "h1"), "&amp;?", "&")
-    return table(spark, d, "pages").select("page_id", title.alias("title"))
+    return table(spark, d, "pages").select("page_id", flat_tag_text(F.col("html"), "h1").alias("title"))
 
 
-@query("page_boxes", """
-SELECT page_id, trim(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)) AS box,
+@query("page_boxes", f"""
+SELECT page_id, {sql_text("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} AS box,
        len(regexp_extract_all(html, '<li>')) AS items,
-       array_to_string(list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: trim(x)), '|') AS entries
+       array_to_string(list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1),
+           lambda x: {sql_text('x')}), '|') AS entries
 FROM pages""")
 def page_boxes(spark, d):
     """First match by class, all matches of a tag, all matches inside a container."""
@@ -77,9 +83,9 @@ def page_links_resolved(spark, d):
     return extract_links(table(spark, d, "pages"), class_token=None).withColumnRenamed("page", "url")
 
 
-@query("list_items_flat", """
+@query("list_items_flat", f"""
 SELECT page_id, array_to_string(list_transform(
-    regexp_extract_all(html, '<a(?:\\s[^>]*)?>([^<]*)</a\\s*>', 1), lambda x: trim(x)), '|') AS items
+    regexp_extract_all(html, '<a(?:\\s[^>]*)?>([^<]*)</a\\s*>', 1), lambda x: {sql_text('x')}), '|') AS items
 FROM pages""")
 def list_items_flat(spark, d):
     items = F.array_join(flat_tag_texts(F.col("html"), "a"), "|")

@@ -1,6 +1,7 @@
 """Pages to crawl rows, on hand-written pages."""
 
 import datetime as dt
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,9 +81,9 @@ def test_ids_that_are_not_integers_are_dropped(spark):
 
 def test_labels_by_priority_last_wins_and_empty_value(spark):
     both = f"{LABELS.origin} {LABELS.made_in}"
-    html = (f"<div><span>{both}</span><span>A</span></div><div><span>{LABELS.made_in}</span><span>B</span></div>"
+    page = (f"<div><span>{both}</span><span>A</span></div><div><span>{LABELS.made_in}</span><span>B</span></div>"
             f"<div><span>{LABELS.made_in} 2</span><span>C</span></div><div><span>x {LABELS.warranty}</span></div>")
-    row = extract(spark, html)[0]
+    row = extract(spark, page)[0]
     assert (row["brandOrigin"], row["madeIn"], row["warranty"]) == ("A", "C", "")
 
 
@@ -122,6 +123,11 @@ def test_rating_edges(spark):
     assert one(spark, T.rating_count_text, *texts) == ["123", "", None, None, "7", "5.5k reviews", None]
 
 
+def test_basic_references(spark):
+    texts = ["a &amp; b", "&amp;lt;", "&lt;p&gt;", "&quot;x&#39;", "cut &amp", "&am", "&#x27;", None]
+    assert one(spark, T.unescape_basic, *texts) == [None if t is None else html.unescape(t) for t in texts]
+
+
 def test_strip_and_urls(spark):
     assert one(spark, T.strip, "\xa0\n a b　\t", "", None) == ["a b", "", None]
     assert one(spark, T.normalize_url, "a?b?c", "a", "?x", "") == ["a", "a", "", ""]
@@ -140,7 +146,7 @@ def test_links(spark):
 def test_fast_paths_agree_with_the_selector_stage(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     slow = select_texts(pages, {"t": Selector("title"), "items": Selector("li", take="all")}, keep=("page_id",))
-    fast = pages.select("page_id", F.replace(flat_tag_text(F.col("html"), "title"), F.lit("&amp;"), F.lit("&")).alias("t"))
+    fast = pages.select("page_id", flat_tag_text(F.col("html"), "title").alias("t"))
     assert sorted(slow.select("page_id", "t").collect()) == sorted(fast.collect())
     token = '<a class="z product-item" href="/1">a</a><a href="/2">b</a><i>  x </i><i>y</i>'
     df = spark.createDataFrame([(token,)], "html string")
