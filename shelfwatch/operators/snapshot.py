@@ -59,32 +59,51 @@ def snapshot_change(
 ) -> DataFrame:
     """Add ``prev_<column>`` from the key's preceding snapshot and ``<column>_delta``.
 
-    An ordinary key is one window group. A key with more than ``hot_rows`` rows is cut into time
-    buckets: inside a bucket the previous row is a plain ``lag``, and the first row of a bucket
-    takes the last row of the key's preceding bucket from a summary, which has one row per
-    bucket and is thus bounded by elapsed time. Choose ``bucket`` so that one bucket of the
-    hottest key fits a task. The wide rows are shuffled once, by key and bucket. A NULL key is
-    never hot.
+    Rows are ordered by time, then ``tie_break``, then the columns themselves. A key of up to
+    ``hot_rows`` rows is one window group; a NULL key always is. Keys with more rows are handled
+    by ``_hot_changes``; without such keys that branch is an empty join and is not run.
     """
-    order = [ts, *tie_break]
+    order = list(dict.fromkeys([ts, *tie_break, *columns]))
     renamed = {k: f"_key_{k}" for k in keys}
     # At most (rows of the table / hot_rows) keys pass the filter, which bounds the broadcast.
-    hot = (df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > hot_rows)
-           .select(*[F.col(k).alias(r) for k, r in renamed.items()], F.lit(True).alias("_hot")))
-    hot = F.broadcast(hot)
-    in_bucket = F.date_trunc(bucket, F.col(ts)).alias("_bucket")
-    tagged = df.join(hot, _equal(renamed), "left").select(
-        *df.columns, F.when(F.col("_hot"), in_bucket).alias("_bucket"))
+    hot = F.broadcast(
+        df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
+        .select(*[F.col(k).alias(r) for k, r in renamed.items()]))
+
+    window = Window.partitionBy(*keys).orderBy(*order)
+    plain = df.join(hot, _equal(renamed), "left_anti").withColumn("_prev", F.lag(F.struct(*columns)).over(window))
+    rows = df.join(hot, _equal(renamed)).select(*df.columns)
+    both = plain.unionByName(_hot_changes(rows, columns, keys, ts, order, bucket))
+    out = both.select(*df.columns, *[F.col("_prev")[c].alias(f"prev_{c}") for c in columns])
+    return out.select("*", *[(F.col(c) - F.col(f"prev_{c}")).alias(f"{c}_delta") for c in deltas])
+
+
+# Copies of one row that a single row of the restoring step stands for.
+_CHUNK = 1000
+
+
+def _hot_changes(df, columns, keys, ts, order, bucket):
+    """Preceding values for keys with very many rows, spread over tasks.
+
+    Equal rows travel as one row with a count, merged before the shuffle. The history of a key is
+    cut into time buckets: inside a bucket the preceding row is a plain ``lag``, and the first row
+    takes the last row of the key's preceding bucket from a summary, which has one row per bucket
+    and is thus bounded by elapsed time. Choose ``bucket`` so that the distinct rows of one bucket
+    fit a task. Copies are restored in chunks that are dealt out to all tasks.
+    """
+    spark = df.sparkSession
+    renamed = {k: f"_key_{k}" for k in keys}
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    rows = (tagged
-            .withColumn("_inside", F.lag(F.struct(*columns)).over(inside))
-            .withColumn("_first", F.row_number().over(inside) == 1))
+    own = F.struct(*columns)
+    in_bucket = (rows
+                 .withColumn("_inside", F.lag(own).over(inside))
+                 .withColumn("_first", F.row_number().over(inside) == 1))
 
-    # An inner join: without hot keys the whole branch is empty and is not run.
-    last = df.join(hot, _equal(renamed)).select(*df.columns, in_bucket).groupBy(*keys, "_bucket").agg(
-        F.max(F.struct(*order, *[F.col(c).alias(f"_value_{c}") for c in columns])).alias("_last"))
+    last = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*order)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carry = last.select(
         *[F.col(k).alias(r) for k, r in renamed.items()],
@@ -93,10 +112,14 @@ def snapshot_change(
     ).where(F.col("_carry").isNotNull())
 
     # Plain equality on the window's own keys: the wide side keeps its partitioning and order.
-    joined = rows.join(carry, _equal({**renamed, "_bucket": "_key_bucket"}), "left")
-    previous = [
-        F.when(F.col("_first"), F.col("_carry")[f"_value_{c}"]).otherwise(F.col("_inside")[c]).alias(f"prev_{c}")
-        for c in columns
-    ]
-    out = joined.select(*df.columns, *previous)
-    return out.select("*", *[(F.col(c) - F.col(f"prev_{c}")).alias(f"{c}_delta") for c in deltas])
+    joined = in_bucket.join(carry, _equal({**renamed, "_bucket": "_key_bucket"}), "left")
+    carried = F.when(F.col("_carry").isNotNull(), F.struct(*[F.col("_carry")[c].alias(c) for c in columns]))
+    before = F.when(F.col("_first"), carried).otherwise(F.col("_inside"))
+
+    chunks = joined.select(*df.columns, "_copies", before.alias("_before"),
+                           F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _CHUNK))).alias("_chunk"))
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = F.least(F.lit(_CHUNK), F.col("_copies") - F.col("_chunk") * _CHUNK)
+    copies = dealt.select("*", F.explode(F.sequence(F.lit(1), size)).alias("_copy"))
+    first = (F.col("_chunk") == 0) & (F.col("_copy") == 1)
+    return copies.select(*df.columns, F.when(first, F.col("_before")).otherwise(own).alias("_prev"))

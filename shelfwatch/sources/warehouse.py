@@ -31,10 +31,10 @@ def overwrite_table(df: DataFrame, target: str | Mapping[str, str]) -> None:
 def load_fact(fact: DataFrame, path: str) -> None:
     """Replace exactly the days the frame holds; other days stay.
 
-    Range partitioning by the sort key gives files with disjoint product ranges, so readers skip
-    files by their statistics, and cuts a hot product by timestamp and then by its values.
+    Rebalancing writes files of even size: it merges small partitions and splits a large one, be
+    it a hot product or copies of one row. Sorted files let readers skip row groups by product.
     """
-    (fact.repartitionByRange("date", "urlId", "timestamp", "sellerId", "price", "sold")
+    (fact.hint("rebalance", F.col("date"), F.col("urlId"))
          .sortWithinPartitions("date", "urlId", "timestamp")
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")

@@ -71,6 +71,24 @@ def test_snapshot_change_matches_brute_force(spark, hot_rows, bucket):
     assert got == want
 
 
+def test_snapshot_change_with_a_group_of_copies(spark):
+    """A third of all rows are copies of one snapshot; each follows the one before it."""
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 50 + 1)).cast("int").alias("urlId"),
+        F.when(F.col("id") % 3 == 0, F.lit(at(3))).otherwise(
+            F.timestamp_add("HOUR", (F.col("id") % 100).cast("int"), F.lit(at(1)).cast("timestamp"))).alias("timestamp"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") % 11).cast("double")).alias("price"))
+    groups = defaultdict(list)
+    for r in rows.collect():
+        groups[r["urlId"]].append((r["timestamp"], r["price"]))
+    want = sorted((key, t, price, values[i - 1][1] if i else -1.0)
+                  for key, values in ((k, sorted(v)) for k, v in groups.items())
+                  for i, (t, price) in enumerate(values))
+    for hot_rows in (0, 1000, 10_000):
+        out = snapshot_change(rows, ["price"], hot_rows=hot_rows).na.fill(-1.0, ["prev_price"])
+        assert sorted(tuple(r) for r in out.collect()) == want
+
+
 def test_snapshot_change_keeps_null_values(spark):
     rows = [(1, None, at(1, 0)), (1, 5.0, at(1, 1)), (1, None, at(1, 2)), (1, 7.0, at(1, 3)), (None, 1.0, at(1)), (None, 2.0, at(2))]
     df = spark.createDataFrame(rows, "urlId int, price double, timestamp timestamp")
