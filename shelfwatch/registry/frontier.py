@@ -128,6 +128,34 @@ def link_frontier_redirects(spark, d):
     return expand_frontier(pages, visited, _redirects(spark, d), "https://", class_token=None)
 
 
+def _listing_pages(spark, d):
+    """A listing page per order line: its product as a marked link, directly or through an ad."""
+    part = F.col("l_partkey").cast("string")
+    href = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("https://ads.example/"), part)).otherwise(
+        F.concat(F.lit("/p"), part, F.lit("?seller="), F.col("l_suppkey").cast("string")))
+    html = F.concat(F.lit('<div><a class="product-item wide" href="'), href,
+                    F.lit('">product</a><a class="menu" href="/home">home</a></div>'))
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("https://shop.example/o"), F.col("l_orderkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("product_link_frontier", f"""
+WITH {SQL_STATE},
+reached AS (
+    SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'R'
+    UNION SELECT l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey
+          WHERE l_returnflag = 'R' AND p_size >= 10)
+SELECT 'https://shop.example/p' || CAST(l_partkey AS VARCHAR) AS url FROM reached
+WHERE 'https://shop.example/p' || CAST(l_partkey AS VARCHAR) NOT IN (SELECT url FROM state)""")
+def product_link_frontier(spark, d):
+    """Marked links only; ads of small parts have no known target and are dropped."""
+    part = F.col("p_partkey").cast("string")
+    redirects = table(spark, d, "part").where(F.col("p_size") >= 10).select(
+        F.concat(F.lit("https://ads.example/"), part).alias("url"),
+        F.concat(F.lit("https://shop.example/p"), part, F.lit("?ad=1")).alias("target"))
+    return expand_frontier(_listing_pages(spark, d), crawl_state(spark, d), redirects, "https://ads.example/")
+
+
 @query("crawl_closure", """
 WITH RECURSIVE links AS (
     SELECT split_part(url, '?', 1) AS page, split_part(href, '?', 1) AS href FROM (
