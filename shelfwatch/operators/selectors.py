@@ -231,7 +231,7 @@ _MARKUP = re.compile(
 _ATTRIBUTES = re.compile(rf"{_GAP}+({_ATTRIBUTE_NAME})(?:{_GAP}*={_GAP}*({_VALUE}))?")
 _RAW_TEXT = {tag: re.compile(f"<!--|</{tag}{_GAP}*>", re.IGNORECASE) for tag in ("script", "style")}
 # Elements whose content tokenisers may treat as text: regular only when no markup is inside.
-_TEXT_ONLY = frozenset("title textarea xmp iframe noembed noframes noscript".split())
+_TEXT_ONLY = frozenset("title textarea xmp iframe noembed noframes".split())
 
 
 def _attributes(raw):

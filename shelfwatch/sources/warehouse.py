@@ -100,3 +100,15 @@ def replace_dimension(spark: SparkSession, warehouse: str, name: str, merge) ->
     fields = [f.name for f in _state_schema(name).fields]
     rows = merge(state).withColumn(_LOAD, F.lit(number).cast("long")).select(*fields)
     overwrite_table(rows, f"{warehouse}/{name}/slot={free}")
+
+
+def export_tables(spark: SparkSession, warehouse: str, targets: Mapping[str, str | Mapping[str, str]]) -> None:
+    """Replace outside tables by the current warehouse ones, e.g. for a dashboard database.
+
+    ``targets`` maps table names to what ``overwrite_table`` takes: a path or JDBC options.
+    """
+    for name, target in targets.items():
+        if name == "productSnapshotFact":
+            overwrite_table(read_fact(spark, warehouse), target)
+        else:
+            overwrite_table(read_dimension(spark, warehouse, name), target)

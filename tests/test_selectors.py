@@ -92,7 +92,7 @@ PIECES = st.sampled_from([
     "&#65;", "<!-- c -->", "<!-- a -- b -->", "<!-->", "<!doctype html>", "<script>if (a<b) '</p>'</script>",
     "<style>p{}</style>", "<title>t &lt; u</title>", "<title><b>x</b></title>", "<textarea><p>x</textarea>", "<p", "<",
     ">", "</", "<p class='a' class=\"b\">", "<P>", "</P >", "<img src=x>", "<![CDATA[z]]>", "<?pi?>", "</1>", "\xa0",
-    "<template>", "</template>", "<script>", "</script>", "<!--", "-->", "<noscript>n</noscript>", "<iframe></iframe>",
+    "<template>", "</template>", "<script>", "</script>", "<!--", "-->", "<noscript>n</noscript>", "<noscript><p>", "</noscript>", "<iframe>", "</iframe>", "<iframe></iframe>",
 ])
 
 

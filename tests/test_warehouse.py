@@ -120,7 +120,8 @@ def test_merge_is_independent_of_order(spark):
 
 def test_derived_keys_equal_looked_up_keys(spark):
     rows = crawl(spark, [(i, f"b{i % 3}" if i % 4 else "", "o", f"s{i % 5}", 1.0, 1, at(1)) for i in range(40)])
-    looked = D.lookup_key(D.lookup_key(rows, D.brand_dim(rows), "brand", "brandId"), D.seller_dim(rows), "seller", "sellerId")
+    looked = D.lookup_key(rows, D.brand_dim(rows), "brand", "brandId")
+    looked = D.lookup_key(looked, D.seller_dim(rows), "seller", "sellerId")
     columns = ["urlId", "brandId", "sellerId"]
     assert sorted(looked.select(columns).collect()) == sorted(D.derive_keys(rows).select(columns).collect())
     unknown = D.lookup_key(rows, D.brand_dim(rows).where("brand = 'b1'"), "brand", "brandId")
@@ -182,6 +183,11 @@ def test_daily_load_history_idempotence_and_order(spark, tmp_path):
         assert fact.join(dim, key, "left_anti").count() == 0
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
+    names = ["brandDim", "sellerDim", "productDim", "productSnapshotFact"]
+    W.export_tables(spark, one, {name: str(tmp_path / "export" / name) for name in names})
+    counts = {name: spark.read.parquet(str(tmp_path / "export" / name)).count() for name in names}
+    assert counts == {"brandDim": 3, "sellerDim": 3, "productDim": 3, "productSnapshotFact": 5}
+
 
 def test_daily_load_one_row_per_tie(spark, tmp_path):
     lake, warehouse = str(tmp_path / "lake"), str(tmp_path / "w")
