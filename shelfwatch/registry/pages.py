@@ -216,7 +216,7 @@ def invalid_ids(spark, d):
 
 @query("money_text", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100) AS dotted,
-       round(l_extendedprice * 100) AS signed, floor(l_quantity) AS plain, CAST(NULL AS DOUBLE) AS words
+       round(l_extendedprice * 100) AS signed, floor(l_quantity) AS plain, TRUE AS no_number
 FROM lineitem""")
 def money_text(spark, d):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -226,23 +226,23 @@ def money_text(spark, d):
         T.money(F.translate(text, ",", ".")).alias("dotted"),
         T.money(F.concat(text, F.lit(" ₫"))).alias("signed"),
         T.money(F.col("l_quantity").cast("int").cast("string")).alias("plain"),
-        T.money(F.lit("liên hệ")).alias("words"))
+        T.money(F.concat(F.col("l_linestatus"), F.lit(" liên hệ"))).isNull().alias("no_number"))
 
 
 @query("discount_text", """
-SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * 100) AS discount, CAST(NULL AS DOUBLE) AS bad
+SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * 100) AS discount, TRUE AS no_number
 FROM lineitem""")
 def discount_text(spark, d):
     percent = F.round(F.col("l_discount") * 100).cast("int").cast("string")
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
         T.discount(F.concat(F.lit("-"), percent, F.lit("%"))).alias("discount"),
-        T.discount(F.lit("%")).alias("bad"))
+        T.discount(F.concat(F.lit("-"), F.col("l_linestatus"), F.lit("%"))).isNull().alias("no_number"))
 
 
 @query("rating_text", """
 SELECT p_partkey, CAST(p_size % 5 AS DOUBLE) + 0.5 AS rate, p_size AS n,
-       CAST(p_size AS VARCHAR) || 'k' AS n_text, CAST(NULL AS VARCHAR) AS short_text
+       CAST(p_size AS VARCHAR) || 'k' AS n_text, TRUE AS no_count
 FROM part""")
 def rating_text(spark, d):
     stars = F.concat((F.col("p_size") % 5).cast("string"), F.lit(".5"))
@@ -251,24 +251,24 @@ def rating_text(spark, d):
     return table(spark, d, "part").select(
         "p_partkey", T.rating_value(plain).alias("rate"), T.rating_count(plain).alias("n"),
         T.rating_count_text(F.concat(stars, F.lit("("), size, F.lit("k)"))).alias("n_text"),
-        T.rating_count_text(stars).alias("short_text"))
+        T.rating_count_text(stars).isNull().alias("no_count"))
 
 
 @query("sold_text", """
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS sold, CAST(NULL AS INTEGER) AS unsold
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS sold, TRUE AS no_number
 FROM lineitem""")
 def sold_text(spark, d):
     units = F.col("l_quantity").cast("int").cast("string")
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
         T.last_token_int(F.concat(F.lit("Đã bán "), units, F.lit("  "))).alias("sold"),
-        T.last_token_int(F.concat(units, F.lit(" pcs"))).alias("unsold"))
+        T.last_token_int(F.concat(units, F.lit(" pcs"))).isNull().alias("no_number"))
 
 
 @query("label_text", """
 SELECT p_partkey, 'key_' || p_brand || ': value_' || p_type AS label, 'key_' || p_name || ': value_None' AS bare,
        contains(p_name, 'ring') AS has_ring, starts_with(p_name, 'red') AS is_red,
-       replace(p_brand, '#', '') AS clean, TRY_CAST(p_type AS INTEGER) AS not_int,
+       replace(p_brand, '#', '') AS clean, TRY_CAST(p_type AS INTEGER) IS NULL AS no_int,
        TRY_CAST(CAST(p_size AS VARCHAR) AS INTEGER) AS an_int, p_retailprice AS a_double
 FROM part""")
 def label_text(spark, d):
@@ -276,6 +276,6 @@ def label_text(spark, d):
         "p_partkey", T.label(F.col("p_brand"), F.col("p_type")).alias("label"),
         T.label(F.col("p_name"), F.lit(None).cast("string")).alias("bare"),
         T.contains(F.col("p_name"), "ring").alias("has_ring"), T.has_prefix(F.col("p_name"), "red").alias("is_red"),
-        T.remove_chars(F.col("p_brand"), "#").alias("clean"), T.safe_int(F.col("p_type")).alias("not_int"),
+        T.remove_chars(F.col("p_brand"), "#").alias("clean"), T.safe_int(F.col("p_type")).isNull().alias("no_int"),
         T.safe_int(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("an_int"),
         T.safe_double(F.col("p_retailprice").cast("string")).alias("a_double"))

@@ -52,7 +52,7 @@ def latest_snapshot_one(spark, d):
 _SQL_CHANGE = f"""
 WITH {SQL_FACT}
 SELECT url_id, order_no, line_no, {sql_stamp('ts')} AS ts, price, seller_id,
-       lag(price) OVER w AS prev_price, lag(seller_id) OVER w AS prev_seller,
+       lag(price) OVER w AS prev_price, coalesce(lag(seller_id) OVER w, -1) AS prev_seller,
        round(price - lag(price) OVER w, 4) AS price_delta
 FROM fact WINDOW w AS (PARTITION BY url_id ORDER BY ts, {SQL_FACT_ORDER})"""
 
@@ -63,7 +63,7 @@ def _change(spark, d, **options):
     return rows.select(
         F.col("urlId").alias("url_id"), F.col("orderNo").alias("order_no"), F.col("lineNo").alias("line_no"),
         stamp("timestamp").alias("ts"), "price", F.col("sellerId").alias("seller_id"), "prev_price",
-        F.col("prev_sellerId").alias("prev_seller"), F.round("price_delta", 4).alias("price_delta"))
+        F.coalesce("prev_sellerId", F.lit(-1)).alias("prev_seller"), F.round("price_delta", 4).alias("price_delta"))
 
 
 @query("snapshot_change", _SQL_CHANGE)
@@ -157,7 +157,7 @@ def fact_keys_derived(spark, d):
 @query("table_contract", f"""
 WITH {SQL_CRAWL}
 SELECT url_id, title, brand, price, sell_price, sold, '' AS warranty, '' AS description,
-       CAST(NULL AS VARCHAR) AS additional, strftime(ts, '%Y-%m-%d') AS day
+       'none' AS additional, strftime(ts, '%Y-%m-%d') AS day
 FROM crawl""")
 def table_contract(spark, d):
     """Crawl rows without their optional texts, brought to the lake contract."""
@@ -165,7 +165,7 @@ def table_contract(spark, d):
     lake = conform(rows, LAKE_ROW)
     return lake.select(
         F.col("urlId").alias("url_id"), "title", "brand", "price", F.col("sellPrice").alias("sell_price"),
-        "sold", "warranty", "description", F.array_join("additionalInfo", "|").alias("additional"),
+        "sold", "warranty", "description", F.coalesce(F.array_join("additionalInfo", "|"), F.lit("none")).alias("additional"),
         F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
