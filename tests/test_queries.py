@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_queries
+from shelfwatch import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,13 +14,14 @@ def duck():
     return check_queries.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     assert check_queries.compare(spark, duck, SF, name) == ""
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
