@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwatch.llm import decontaminate, rules, token_counts
+from shelfwatch.llm import classifier, decontaminate, mixing, near_dups, rules, sharding, token_counts
 from shelfwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,75 @@ def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return rules.adaptive_rules(docs, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OLD_SHARDS, SHARDS = 6, 8
+
+
+@query("op2_resharding")
+def _resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout goes by source, so its shards are uneven; eight equal ones follow."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    rows = sharding.reshard(docs, old, OLD_SHARDS, SHARDS)
+    return rows.select("doc_id", sharding.row_size(F.col("text")).alias("size"),
+                       F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_quality_classifier")
+def _quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    weights = classifier.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return classifier.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+SQL_MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+p AS (SELECT *, (place - 1) % 3 + 1 AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+      row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place FROM d GROUP BY source)),
+f AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
+             coalesce(sum(source_size) OVER (ORDER BY source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 AS filled,
+             coalesce(sum(w) OVER (ORDER BY source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM p),
+c AS (SELECT *, CAST(total - filled AS DOUBLE) * w > CAST(3 * source_size AS DOUBLE) * (ws - passed) AS capped FROM f),
+t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE
+      CAST(total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE)
+      / CAST(ws - sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS DOUBLE) * w END AS target FROM c),
+u AS (SELECT d.doc_id, d.source, size, source_size, target,
+             CAST(CASE WHEN source_size > 0 THEN floor(target / source_size * {mixing.UNIT} + 0.5) ELSE 0 END AS BIGINT) AS units
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, CAST('0x' || substr(md5('{mixing.SEED}' || coalesce(source, '')), 1, 7) AS BIGINT) + CAST(coalesce(sum(units) OVER (
+             PARTITION BY source ORDER BY size DESC, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u)
+SELECT doc_id, size, source_size, target,
+       CAST(((start + units) // {mixing.UNIT} - start // {mixing.UNIT}) * size AS BIGINT) AS taken FROM o"""
+
+
+@query("op8_mixing", SQL_MIX)
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.plan_copies(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL_NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+c AS MATERIALIZED (SELECT w, min(r) AS c FROM d WHERE len(w) > 0 GROUP BY w),
+sh AS MATERIALIZED (SELECT DISTINCT c, list_slice(w, i + 1, i + 3) AS s FROM (SELECT c, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM c)),
+n AS MATERIALIZED (SELECT c, count(*) AS n FROM sh GROUP BY c),
+k AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.c < b.c GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM k JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT c AS node, c AS seen FROM c UNION SELECT t.node, e.b FROM t JOIN e ON t.seen = e.a),
+g AS (SELECT node, min(seen) AS root FROM t GROUP BY node),
+m AS (SELECT d.r, d.doc_id, d.w, g.root FROM d LEFT JOIN c ON d.w = c.w LEFT JOIN g ON g.node = c.c),
+p AS (SELECT root, min(doc_id) AS least FROM m WHERE root IS NOT NULL GROUP BY root)
+SELECT m.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN m.root IS NULL THEN m.doc_id ELSE p.least END AS component_id,
+       m.root IS NULL OR m.doc_id IS NOT DISTINCT FROM p.least AS kept
+FROM m LEFT JOIN p ON m.root = p.root LEFT JOIN c ON m.w = c.w LEFT JOIN n ON n.c = c.c"""
+
+
+@query("op6_near_duplicates", SQL_NEAR_DUPLICATES)
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dups.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
