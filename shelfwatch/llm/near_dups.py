@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash, with every link confirmed on full shingle sets.
 
-1. One pass over the texts: word shingles, ``HASHES`` minima, ``BANDS`` band keys from the full minima,
-   and the low ``BITS`` bits of every minimum packed into a signature. Texts with equal words are one
+1. One pass over the texts: word shingles, ``HASHES`` minima, band keys from the full minima, and the
+   low ``BITS`` bits of every minimum packed into a signature. Texts with equal words are one
    class from here on, so copies cost nothing further.
 2. Classes that share a band key are tied to the smallest one there (a star, not pairs). Connected
    stars are clusters: any two classes with a common band key are in one cluster.
@@ -14,7 +14,7 @@
 4. Components of the confirmed links; the smallest doc_id of a component names it.
 
 The estimate drops a pair only ``SIGMAS`` standard errors below the threshold. A link at the threshold
-shares no band with probability 4e-7; above it the chance falls fast.
+shares no band with a probability of ``MISS`` at most; above it the chance falls fast.
 
 Results in special cases: NULL, empty and blank texts have no shingles, are alone, and are kept; a text
 with fewer words than a shingle is one shingle; rows with equal words are in one component; the
@@ -32,14 +32,14 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, columns_of, identified, pin, shield
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, identified, pin, shield
 from shelfwatch.llm.components import connected
 
-BANDS, ROWS, BITS = 25, 5, 4
-HASHES = 128  # BANDS * ROWS of them in bands; lanes of BITS bits fill eight words
+HASHES, BITS = 128, 4  # lanes of BITS bits fill eight words
+MISS = 1e-6  # the most a link at the threshold may miss all bands by
 SIGMAS = 6
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 RESULTS = ["n_shingles", "component_id", "kept"]
@@ -47,7 +47,7 @@ RESULTS = ["n_shingles", "component_id", "kept"]
 _rng = np.random.default_rng(20)
 _MULT = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_BAND = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -82,10 +82,18 @@ def signature(least: np.ndarray) -> bytes:
     return (lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).tobytes()
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    rows = least[:BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    keys = ((rows + _P) * _BAND).sum(axis=1, dtype=np.uint64)
-    keys = (keys ^ (keys >> np.uint64(31))) * _Q + np.arange(BANDS, dtype=np.uint64)
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): as many rows to a band as leave a link at the threshold a miss of ``MISS`` at most."""
+    for rows in range(HASHES, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISS:
+            return HASHES // rows, rows
+    return HASHES, 1
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> list[int]:
+    used = ((least[:bands * rows].astype(np.uint64) + _P) * _BAND[:bands * rows]).reshape(bands, rows)
+    keys = used.sum(axis=1, dtype=np.uint64)
+    keys = (keys ^ (keys >> np.uint64(31))) * _Q + np.arange(bands, dtype=np.uint64)
     return (keys ^ (keys >> np.uint64(29))).view(np.int64).tolist()
 
 
@@ -110,9 +118,10 @@ def least_estimate(percent: int) -> float:
     return s - SIGMAS * (share * (1 - share) / HASHES) ** 0.5 / (1 - chance)
 
 
-def sketches(rows: DataFrame, size: int) -> DataFrame:
+def sketches(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Row identity, doc_id, and per text: class digest, n_shingles, sig, bands (NULL without words)."""
     rows = rows.select(ROW_FILE, ROW_INDEX, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bands, width = banding(percent)
     fields = [("n_shingles", pa.int64()), ("words", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +133,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                     out.append((0, None, None, None))
                     continue
                 least = minima(words, size)
-                out.append((len(shingles(words, size)), hashlib.md5(b" ".join(words)).digest(), signature(least), band_keys(least)))
+                out.append((len(shingles(words, size)), hashlib.md5(b" ".join(words)).digest(), signature(least), band_keys(least, bands, width)))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(list(c), t) for c, (_, t) in zip(cols, fields)]],
                                              names=[*batch.schema.names[:3], *[n for n, _ in fields]])
@@ -141,18 +150,41 @@ def clusters(classes: DataFrame) -> DataFrame:
     return connected(stars, "id", "center").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
 
 
-def _compare(size: int, percent: int, halves: bool):
+class TextMatcher:
+    """Which texts of a block are near a text by signature and size, and which are linked to it."""
+
+    def __init__(self, rows: pd.DataFrame, size: int, percent: int):
+        self.size, self.percent, self.cut = size, percent, least_estimate(percent)
+        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), -1)
+        self.counts = rows["n_shingles"].to_numpy()
+        self.texts, self.ids = rows["text"].tolist(), rows["id"].tolist()
+        self.sets: dict[int, set] = {}
+
+    def near(self, k: int) -> np.ndarray:
+        """Places after ``k``, the nearest first."""
+        guess = similarity(equal_lanes(self.sigs[k], self.sigs[k + 1:]) / HASHES)
+        less, more = np.minimum(self.counts[k], self.counts[k + 1:]), np.maximum(self.counts[k], self.counts[k + 1:])
+        fits = np.flatnonzero((guess >= self.cut) & (100 * less >= self.percent * more))
+        return fits[np.argsort(-guess[fits], kind="stable")] + k + 1
+
+    def linked(self, k: int, j: int) -> bool:
+        both = len(self._set(k) & self._set(j))
+        return 100 * both >= self.percent * (self.counts[k] + self.counts[j] - both)
+
+    def _set(self, k: int) -> set:
+        own = self.ids[k]
+        if own not in self.sets:
+            self.sets[own] = shingles(words_of(self.texts[k]), self.size)
+        return self.sets[own]
+
+
+def _compare(matcher, halves: bool):
     """Compares the rows of one pair of blocks and returns a spanning forest of the links found.
 
     With ``halves`` the rows with side 0 are compared with all; else every row with every other."""
-    cut = least_estimate(percent)
-
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["id", "side"]) if halves else rows.drop_duplicates("id")
         rows = rows.sort_values(["side", "id"]).reset_index(drop=True)
         ids = rows["id"].to_numpy()
-        first = {}
-        spot = np.array([first.setdefault(i, k) for k, i in enumerate(ids)])
         root = list(range(len(ids)))
         seen: dict = {}
         for k, label in enumerate(rows["label"]):  # rows of one label are linked already
@@ -164,29 +196,14 @@ def _compare(size: int, percent: int, halves: bool):
                 x = root[x]
             return x
 
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(ids), -1)
-        count = rows["n_shingles"].to_numpy()
-        sets: dict[int, set] = {}
-        texts = rows["text"].tolist()
-
-        def of(k: int) -> set:
-            k = spot[k]
-            if k not in sets:
-                sets[k] = shingles(words_of(texts[k]), size)
-            return sets[k]
-
+        match = matcher(rows)
         out = []
         for k in range(int((rows["side"] == 0).sum()) if halves else len(ids) - 1):
-            near = similarity(equal_lanes(sigs[k], sigs[k + 1:]) / HASHES)
-            less, more = np.minimum(count[k], count[k + 1:]), np.maximum(count[k], count[k + 1:])
-            fits = np.flatnonzero((near >= cut) & (100 * less >= percent * more)) + k + 1
-            for j in fits[np.argsort(-near[fits - k - 1], kind="stable")].tolist():
-                x, y = find(k), find(j)
-                if x == y:
-                    continue
-                both = len(of(k) & of(j))
-                if 100 * both >= percent * (count[k] + count[j] - both):
-                    root[max(x, y)] = min(x, y)
+            own = find(k)
+            for j in match.near(k).tolist():
+                y = find(j)
+                if own != y and match.linked(k, j):
+                    root[max(own, y)] = own = min(own, y)
                     out.append((ids[k], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
@@ -197,10 +214,11 @@ def _blocks(rows: str, shingle: str):
     return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingle) / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def confirmed(members: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(members: DataFrame, matcher) -> DataFrame:
     """(a, b): links that connect exactly what the links inside the clusters connect.
 
-    ``members``: id, cluster, n_shingles, sig, text; a written table.
+    ``members``: id, cluster, n_shingles (the weight of a row), sig, text; a written table. ``matcher``
+    takes a pandas frame of them and says what is near and what is linked, as ``TextMatcher`` does.
     """
     shape = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_shingles").alias("__s"))
     shape = shape.select("cluster", _blocks("__n", "__s").alias("blocks"))
@@ -209,15 +227,15 @@ def confirmed(members: DataFrame, size: int, percent: int) -> DataFrame:
     # Block 0 meets every block; any other meets itself and block 0 at its own place.
     own = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = (dealt.withColumn("at", F.explode(own)).withColumn("label", F.col("id")).withColumn("side", F.lit(0))
-             .groupBy("cluster", "at").applyInPandas(_compare(size, percent, False), "a long, b long"))
+             .groupBy("cluster", "at").applyInPandas(_compare(matcher, False), "a long, b long"))
     first = pin(first, "links")
     large = pin(members.join(shape.where("blocks > 1").select("cluster"), "cluster"), "large")
     if large.isEmpty():
         return first
-    return first.unionByName(_rest(large, first, size, percent))
+    return first.unionByName(_rest(large, first, matcher))
 
 
-def _rest(large: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
+def _rest(large: DataFrame, first: DataFrame, matcher) -> DataFrame:
     """What is outside the largest component of its cluster, compared with the whole cluster."""
     roots = connected(first, "a", "b")
     labelled = pin(large.join(roots.withColumnRenamed("node", "id"), "id", "left")
@@ -237,7 +255,7 @@ def _rest(large: DataFrame, first: DataFrame, size: int, percent: int) -> DataFr
         "i", F.pmod(F.xxhash64("id"), F.col("rests")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["cluster", "i", "j", "id", "label", "side", "n_shingles", "sig", "text"]
     return (whole.select(*names).unionByName(outside.select(*names)).groupBy("cluster", "i", "j")
-            .applyInPandas(_compare(size, percent, True), "a long, b long"))
+            .applyInPandas(_compare(matcher, True), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -246,13 +264,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``docs`` needs doc_id and text; links need ``percent`` of the union of ``size``-word shingles.
     """
     rows = identified(docs.select("doc_id", "text"))
-    sketched = pin(sketches(rows, size), "sketches")
+    sketched = pin(sketches(rows, size, percent), "sketches")
     classes = sketched.where("words IS NOT NULL").dropDuplicates(["words"])
     classes = pin(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     grouped = clusters(classes)
     wanted = classes.select("id", "n_shingles", "sig", ROW_FILE, ROW_INDEX).join(grouped, "id")
     members = pin(wanted.join(rows.select(ROW_FILE, ROW_INDEX, "text"), [ROW_FILE, ROW_INDEX]).drop(ROW_FILE, ROW_INDEX), "members")
-    roots = connected(confirmed(members, size, percent), "a", "b")
+    roots = connected(confirmed(members, lambda block: TextMatcher(block, size, percent)), "a", "b")
     named = classes.select("id", "words").join(roots.withColumnRenamed("node", "id"), "id").select("words", "root")
     plain = sketched.select(ROW_FILE, ROW_INDEX, "doc_id", "n_shingles", "words").join(named, "words", "left")
     # A component is named by its root class, a class without links by itself.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwatch.llm import classifier, decontaminate, mixing, near_dups, rules, sharding, token_counts
+from shelfwatch.llm import chat, classifier, decontaminate, line_dedup, mixing, near_dups, rules, sharding, token_counts, warc
 from shelfwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,52 @@ FROM m LEFT JOIN p ON m.root = p.root LEFT JOIN c ON m.w = c.w LEFT JOIN n ON n.
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dups.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL_CHAT = f"""
+WITH t AS (SELECT row_number() OVER () AS r, conv_id, coalesce(turn, 9223372036854775807) AS turn,
+                  replace(coalesce(role, ''), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') || '{chat.END.strip()}' || chr(10) AS body
+           FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who NOT IN ('', 'system')),
+s AS (SELECT t.conv_id, speaker, CAST(turn // {chat.PART_TURNS} AS BIGINT) AS part, who = speaker AS mine, body,
+             CASE WHEN who = 'system' THEN '<|system|>' WHEN who = speaker THEN '<|assistant|>' WHEN who = '' THEN '<|user|>'
+                  ELSE '<|user|> ' || who END || chr(10) AS header,
+             row_number() OVER (PARTITION BY t.conv_id, speaker, turn // {chat.PART_TURNS} ORDER BY turn, who = '', who, body, r) AS k
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, CAST(sum(length(header) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k) AS BIGINT) AS stop FROM s)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(header || body, '' ORDER BY k) AS text,
+       coalesce(string_agg(CASE WHEN mine THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY k), '') AS masks
+FROM o GROUP BY conv_id, speaker, part"""
+
+
+@query("op1_chat_perspectives", SQL_CHAT)
+def _chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.perspectives(table(spark, sf_dir, "conversations"))
+    span = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["stop"]))
+    return rows.withColumn("masks", F.array_join(span, ","))
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SQL_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, strlen(html) AS n, first, CAST(unhex(sha1(html)) AS BIT) AS b FROM p JOIN f USING (html))
+SELECT page_id, n AS payload_bytes,
+       list_reduce([substr('{_B32}', 1 + get_bit(b, CAST(5 * i AS INTEGER)) * 16 + get_bit(b, CAST(5 * i + 1 AS INTEGER)) * 8 + get_bit(b, CAST(5 * i + 2 AS INTEGER)) * 4
+                           + get_bit(b, CAST(5 * i + 3 AS INTEGER)) * 2 + get_bit(b, CAST(5 * i + 4 AS INTEGER)), 1) FOR i IN range(32)], lambda x, y: x || y) AS payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to FROM d"""
+
+
+@query("op10_warc_histories", SQL_WARC)
+def _warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no capture time; a second per page_id stands for it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.pmod("page_id", F.lit(1_000_000_000)), F.lit(0)))
+    return warc.capture_histories(pages, captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_line_dedup")
+def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))

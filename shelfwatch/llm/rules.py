@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfwatch.llm.common import columns_of, pin, without
+from shelfwatch.llm.common import columns_of, pin, shield, without
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
@@ -147,3 +147,9 @@ def adaptive_rules(docs: DataFrame, keep_text: bool = True, min_docs: int = MIN_
     measured = measure(docs)
     measured = pin(measured if keep_text else measured.drop("text"), "rules")
     return judge(measured, thresholds(sketch(measured), min_docs))
+
+
+def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The columns of ``docs``, of the documents that the rules keep."""
+    docs, back = shield(docs, [*COUNTS, "base_failed", "kept"])
+    return back(adaptive_rules(docs, min_docs=min_docs).where("kept"))

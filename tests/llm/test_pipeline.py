@@ -1,0 +1,47 @@
+"""run() against plain Python on hostile rows, stage by stage."""
+
+from collections import Counter
+
+from odd import documents, prose
+from test_decontamination import brute as hits
+from test_near_dups import brute as groups
+
+import corpus_pipeline
+from shelfwatch.llm.common import pin
+
+
+def test_stages_in_turn(spark, tmp_path):
+    bench = [(1, prose(40, 3)), (2, prose(300, 800))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = [(100 + i, prose(60 + i % 30, 100 + i), "en", f"s{i % 3}") for i in range(150)]
+    more += [(300 + i, prose(60 + i % 30, 100 + i), "en", "s1") for i in range(20)] + [(400, prose(300, 800) + " tail", "en", "s1")]
+    more += [(500, prose(80, 700).replace(" ", "*** "), "en", "s1")]
+    documents(spark, more).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    text_of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    results = []
+    for name, stage in corpus_pipeline.STAGES:
+        was = docs
+        docs = pin(stage(spark, docs, str(tmp_path)), name)
+        if name != "shards":
+            assert docs.columns == was.columns
+        results.append(text_of(docs))
+    ruled, unique, clean, mixed, sharded = results
+    ids = {d for d, _ in ruled}
+    assert {100 + i for i in range(150)} <= ids and not ids & {500, 4, 5, 6, 7, 8, 10}
+    rows = list(ruled.elements())
+    named = groups(rows, 5, 80)
+    assert sum(unique.values()) == len({c if c is not None else -1 for _, _, c in named})
+    assert {d for d, _ in unique} == {c for _, _, c in named}
+    assert clean == Counter({k: v for k, v in unique.items() if not (lambda n, h, _: h and 20 * h >= n)(*hits(k[1], bench))})
+    assert (400, prose(300, 800) + " tail") in unique and 400 not in {d for d, _ in clean}
+    assert set(mixed) <= set(clean) and all(v <= 3 for v in mixed.values()) and mixed == sharded
+    words = lambda c: sum(len(t.split()) * n for (_, t), n in c.items())
+    assert abs(words(mixed) - words(clean)) < 0.35 * words(clean)
+    assert {r["shard"] for r in docs.collect()} <= set(range(8))
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
