@@ -16,7 +16,6 @@ gives an empty result; input columns named like a result are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shelfwatch.llm.common import without
+from shelfwatch.llm.common import map_batches, without
 
 SLOTS = 1 << 18
 MAX_ROWS = 16_000
@@ -109,13 +108,11 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFrame:
     schema = StructType([*[docs.schema.fields[i] for i in kept], StructField("score", DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
-        for batch in batches:
-            scores = []
-            for text in batch.column(at).to_pylist():
-                slots, values = features(text)
-                scores.append(_sigmoid(float(w[slots] @ values)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], names=schema.names)
+    def dot(batch: pa.RecordBatch) -> list[pa.Array]:
+        w, scores = held.value, []
+        for text in batch.column(at).to_pylist():
+            slots, values = features(text)
+            scores.append(_sigmoid(float(w[slots] @ values)))
+        return [*[batch.column(i) for i in kept], pa.array(scores, pa.float64())]
 
-    return docs.mapInArrow(dot, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return map_batches(docs, dot, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from shelfwatch.session import scratch_path, tune
 
@@ -64,6 +68,21 @@ def identified(df: DataFrame) -> DataFrame:
         return marked(pin(df, "rows"))
 
 
+def map_batches(df: DataFrame, arrays_of: Callable[[pa.RecordBatch], list[pa.Array]], schema: StructType) -> DataFrame:
+    """``df`` through a function of Arrow batches that returns the columns of ``schema``, in order.
+
+    Columns go by position, so their names may hold dots or clash with others.
+    """
+    inner = [f"c{i}" for i in range(len(schema.fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(arrays_of(batch), names=inner)
+
+    out = StructType([StructField(n, f.dataType) for n, f in zip(inner, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, out).toDF(*schema.names)
+
+
 def before(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str], name: str) -> DataFrame:
     """For every row the sum of each amount over the rows before it in its group.
 

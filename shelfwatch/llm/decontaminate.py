@@ -14,14 +14,12 @@ benchmark hits nothing; repeated documents each get a row; input columns named l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, columns_of, identified, pin, shield, without
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, columns_of, identified, map_batches, pin, shield, without
 
 WIDTH = 13
 MAX_WINDOWS = 200_000
@@ -141,19 +139,16 @@ def _scanned(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
     cached: dict = {}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batch: pa.RecordBatch) -> list[pa.Array]:
         if "w" not in cached:
             cached["w"] = Windows(held.value, width)
-        for batch in batches:
-            got = [cached["w"].scan(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.int64()),
-                 pa.array([[{"start": a, "stop": b} for a, b in g[1]] for g in got],
-                          pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                 pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                names=[*batch.schema.names, "n_words", "hit_spans", "item_ids"])
-
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL(_ADDED).fields]))
+        got = [cached["w"].scan(t) for t in batch.column(at).to_pylist()]
+        return [*batch.columns, pa.array([g[0] for g in got], pa.int64()),
+                pa.array([[{"start": a, "stop": b} for a, b in g[1]] for g in got],
+                         pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                pa.array([g[2] for g in got], pa.list_(pa.string()))]
+
+    return map_batches(docs, scan, StructType([*docs.schema.fields, *StructType.fromDDL(_ADDED).fields]))
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shelfwatch.llm.common import without
+from shelfwatch.llm.common import map_batches, without
 
 LIMIT = 512
 BATCH_BYTES = 1 << 18
@@ -89,19 +88,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, batch_byte
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
     schema = StructType([*[docs.schema.fields[i] for i in kept], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batch: pa.RecordBatch) -> list[pa.Array]:
         counter = _counter(tokenizer, batch_bytes)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            tokens: list[int] = []
-            start = size = 0
-            for i, text in enumerate(texts):  # parts of about equal bytes, however the rows are cut
-                size += len(text)
-                if size >= 4 * batch_bytes or i + 1 == len(texts):
-                    tokens += counter.counts(texts[start:i + 1])
-                    start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in kept], pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                 pa.array(tokens, pa.int64())], names=schema.names)
-
-    return docs.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        tokens: list[int] = []
+        start = size = 0
+        for i, text in enumerate(texts):  # parts of about equal bytes, however the rows are cut
+            size += len(text)
+            if size >= 4 * batch_bytes or i + 1 == len(texts):
+                tokens += counter.counts(texts[start:i + 1])
+                start, size = i + 1, 0
+        return [*[batch.column(i) for i in kept], pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                pa.array(tokens, pa.int64())]
+
+    return map_batches(docs, count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -82,7 +82,7 @@ def test_dedupe_keeps_one_of_each(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     groups = {c if n else ("alone", i) for i, (_, n, c) in enumerate(brute(rows, 3, 85))}
     # A group of rows without doc_id has no name, but one row of it stays.
-    assert len(ids) == len(groups) + 1 - 1 and ids.count(3) == 2
+    assert len(ids) == len(groups) + 1 and ids.count(3) == 2  # two groups bear the name 3
     assert near_dups.near_duplicates(empty(spark)).count() == 0
     assert near_dups.dedupe(empty(spark)).count() == 0
 
