@@ -153,11 +153,10 @@ def clusters(classes: DataFrame) -> DataFrame:
 class TextMatcher:
     """Which texts of a block are near a text by signature and size, and which are linked to it."""
 
-    def __init__(self, rows: pd.DataFrame, size: int, percent: int):
+    def __init__(self, rows: dict[str, np.ndarray], size: int, percent: int):
         self.size, self.percent, self.cut = size, percent, least_estimate(percent)
-        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), -1)
-        self.counts = rows["n_shingles"].to_numpy()
-        self.texts, self.ids = rows["text"].tolist(), rows["id"].tolist()
+        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows["id"]), -1)
+        self.counts, self.texts, self.ids = rows["n_shingles"], rows["text"], rows["id"].tolist()
         self.sets: dict[int, set] = {}
 
     def near(self, k: int) -> np.ndarray:
@@ -179,37 +178,47 @@ class TextMatcher:
 
 
 def _compare(matcher, halves: bool):
-    """Compares the rows of one pair of blocks and returns a spanning forest of the links found.
+    """Compares the rows of each cluster in a task's frame, whole small clusters or a pair of blocks of
+    a large one, and returns a spanning forest of the links found.
 
     With ``halves`` the rows with side 0 are compared with all; else every row with every other."""
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "id"]).reset_index(drop=True)
-        ids = rows["id"].to_numpy()
-        root = list(range(len(ids)))
-        seen: dict = {}
-        for k, label in enumerate(rows["label"]):  # rows of one label are linked already
-            root[k] = root[seen.setdefault(label, k)]
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        match = matcher(rows)
-        out = []
-        for k in range(int((rows["side"] == 0).sum()) if halves else len(ids) - 1):
-            own = find(k)
-            for j in match.near(k).tolist():
-                y = find(j)
-                if own != y and match.linked(k, j):
-                    root[max(own, y)] = own = min(own, y)
-                    out.append((ids[k], ids[j]))
+        rows = rows.sort_values(["cluster", "side", "id"])
+        columns = {c: rows[c].to_numpy() for c in ("cluster", "side", "id", "label", "n_shingles", "sig", "text")}
+        new = np.flatnonzero(np.diff(columns["cluster"])) + 1
+        out: list[tuple[int, int]] = []
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rows)]):
+            out += _forest({c: v[a:b] for c, v in columns.items()}, matcher, halves)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return links
 
 
+def _forest(rows: dict[str, np.ndarray], matcher, halves: bool) -> list[tuple[int, int]]:
+    ids = rows["id"]
+    root = list(range(len(ids)))
+    seen: dict = {}
+    for k, label in enumerate(rows["label"].tolist()):  # rows of one label are linked already
+        root[k] = root[seen.setdefault(label, k)]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    match = matcher(rows)
+    out = []
+    for k in range(int((rows["side"] == 0).sum()) if halves else len(ids) - 1):
+        own = find(k)
+        for j in match.near(k).tolist():
+            y = find(j)
+            if own != y and match.linked(k, j):
+                root[max(own, y)] = own = min(own, y)
+                out.append((ids[k], ids[j]))
+    return out
+
+
 def _blocks(rows: str, shingle: str):
     return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingle) / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
@@ -224,10 +233,14 @@ def confirmed(members: DataFrame, matcher) -> DataFrame:
     shape = shape.select("cluster", _blocks("__n", "__s").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.join(shape, "cluster").withColumn("block", block)
-    # Block 0 meets every block; any other meets itself and block 0 at its own place.
+    # Block 0 meets every block; any other meets itself and block 0 at its own place. Clusters of one
+    # block share tasks, about BLOCK_ROWS rows in each.
     own = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    total = members.agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("__s"))
+    bins = total.select(_blocks("__n", "__s")).first()[0]
+    group = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster"))
     first = (dealt.withColumn("at", F.explode(own)).withColumn("label", F.col("id")).withColumn("side", F.lit(0))
-             .groupBy("cluster", "at").applyInPandas(_compare(matcher, False), "a long, b long"))
+             .groupBy(group.alias("group"), "at").applyInPandas(_compare(matcher, False), "a long, b long"))
     first = pin(first, "links")
     large = pin(members.join(shape.where("blocks > 1").select("cluster"), "cluster"), "large")
     if large.isEmpty():
@@ -263,7 +276,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``docs`` needs doc_id and text; links need ``percent`` of the union of ``size``-word shingles.
     """
-    rows = identified(docs.select("doc_id", "text"))
+    return _labelled(identified(docs.select("doc_id", "text")), size, percent)
+
+
+def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = pin(sketches(rows, size, percent), "sketches")
     classes = sketched.where("words IS NOT NULL").dropDuplicates(["words"])
     classes = pin(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -275,7 +291,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     plain = sketched.select(ROW_FILE, ROW_INDEX, "doc_id", "n_shingles", "words").join(named, "words", "left")
     # A component is named by its root class, a class without links by itself.
     plain = pin(plain.withColumn("__component", F.coalesce(F.col("root").cast("string"), F.hex("words"))).drop("root"), "labelled")
-    least = plain.where("__component IS NOT NULL").groupBy("__component").agg(F.min("doc_id").alias("component_id"))
+    # Written down, so that the join can split a component that holds most documents.
+    least = pin(plain.where("__component IS NOT NULL").groupBy("__component").agg(F.min("doc_id").alias("component_id")), "least")
     out = plain.join(least, "__component", "left")
     out = out.withColumn("component_id", F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -285,7 +302,7 @@ def dedupe(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The columns of ``docs``, one document of each component. Documents without words all stay."""
     docs, back = shield(docs, [*RESULTS, "words", "__component"])
     rows = identified(docs)
-    found = near_duplicates(docs, size, percent).where("kept")
+    found = _labelled(rows, size, percent).where("kept")
     # Rows that share the smallest doc_id: one stays, whatever their number.
     best = found.where("words IS NOT NULL").groupBy("__component").agg(F.min(F.struct(ROW_FILE, ROW_INDEX)).alias("r"))
     stay = best.select("r.*").unionByName(found.where("words IS NULL").select(ROW_FILE, ROW_INDEX))
