@@ -13,9 +13,12 @@ _SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# One number with separators; before and after it no letters but a currency word.
+_AROUND = r"[^\p{L}0-9]*(?:(?:vn[dđ]|usd|đ|d)[^\p{L}0-9]*)?"
+_MONEY = rf"(?iu)^{_AROUND}([0-9](?:[.,\s\u00a0]?[0-9])*[.,]?){_AROUND}$"
 # The guards keep out what Spark alone would accept (1.0d), and spare the cast of plain words:
 # a failing try_cast raises and catches an exception per row, some 20 times the cost of a match.
-_INTEGER = "^[+-]?0*[0-9]{1,10}$"
+_INTEGER, _LONG = "^[+-]?0*[0-9]{1,10}$", "^[+-]?0*[0-9]{1,19}$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -33,6 +36,11 @@ def safe_int(text: Column) -> Column:
     return F.when(cleaned.rlike(_INTEGER), cleaned.try_cast("int"))
 
 
+def safe_long(text: Column) -> Column:
+    cleaned = strip(text)
+    return F.when(cleaned.rlike(_LONG), cleaned.try_cast("long"))
+
+
 def safe_double(text: Column) -> Column:
     cleaned = strip(text)
     return F.when(cleaned.rlike(_NUMBER), cleaned.try_cast("double"))
@@ -67,9 +75,14 @@ def normalize_url(url: Column) -> Column:
 
 
 def money(text: Column) -> Column:
-    """Money text to double: without separators, or else from its digits alone."""
+    """Money text to double: without separators, or else from its one number.
+
+    Around that number there may be signs, spaces and a currency word; a text with other words,
+    such as a telephone line, or with several numbers, such as a span of prices, is no price.
+    """
     plain = safe_double(remove_chars(text, ".,"))
-    return F.coalesce(plain, safe_double(F.regexp_replace(text, "[^0-9]", "")))
+    one = F.regexp_extract(text, _MONEY, 1)
+    return F.coalesce(plain, safe_double(remove_chars(one, "., \t\u00a0")))
 
 
 def discount(text: Column) -> Column:

@@ -116,13 +116,18 @@ def extract_products(
 ) -> DataFrame:
     """``(urlId text, html, timestamp)`` to crawl rows.
 
-    Rows without an integer id are dropped before the page is parsed.
+    Rows without an integer id are dropped before the page is parsed; ``rejected_messages`` has them.
     """
-    valid = messages.withColumn("urlId", T.safe_int(F.col("urlId"))).where(F.col("urlId").isNotNull())
+    valid = messages.withColumn("urlId", T.safe_long(F.col("urlId"))).where(F.col("urlId").isNotNull())
     raw = select_texts(valid, selectors, html="html", keep=("urlId", "timestamp"))
     return normalize(raw, labels)
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """The messages that ``extract_products`` leaves out, as they came."""
+    return messages.where(T.safe_long(F.col("urlId")).isNull())
+
+
 def to_lake_rows(rows: DataFrame, zone: str | None = None) -> DataFrame:
     """Add the partition date. ``zone`` must be the one the daily load counts its days in."""
     return rows.withColumn("date", partition_date(F.col("timestamp"), zone))
@@ -146,6 +151,11 @@ def extract_links(
     return links.where(F.col("href") != "")
 
 
+def _visible(html: Column) -> Column:
+    """``html`` without what a reader skips: comments, scripts, styles."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+
+
 def _flat_text(text: Column) -> Column:
     return T.strip(T.unescape_basic(text))
 
@@ -153,16 +163,18 @@ def _flat_text(text: Column) -> Column:
 def flat_tag_text(html: Column, tag: str) -> Column:
     """JVM fast path: text of the first ``<tag>`` that holds no other markup; NULL when absent.
 
-    Of the character references, only the basic ones are resolved.
+    Comments, scripts and styles are passed over. Of the character references, only the basic ones
+    are resolved.
     """
-    pattern = rf"(?s)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
+    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
+    html = _visible(html)
     return F.when(html.rlike(pattern), _flat_text(F.regexp_extract(html, pattern, 1)))
 
 
 def flat_tag_texts(html: Column, tag: str) -> Column:
     """JVM fast path: text of every ``<tag>`` that holds no other markup."""
-    pattern = rf"(?s)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), _flat_text)
+    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>"
+    return F.transform(F.regexp_extract_all(_visible(html), F.lit(pattern), F.lit(1)), _flat_text)
 
 
 def flat_links(html: Column, class_token: str | None = None) -> Column:
@@ -170,7 +182,7 @@ def flat_links(html: Column, class_token: str | None = None) -> Column:
 
     With a token, anchors count whose class attribute contains it.
     """
-    tags = F.regexp_extract_all(html, F.lit(r"(<a\s[^>]*>)"), F.lit(1))
+    tags = F.regexp_extract_all(_visible(html), F.lit(r"(?i)(<a\s[^>]*>)"), F.lit(1))
     if class_token is not None:
         classes = r'\sclass="([^"]*)"'
         tags = F.filter(tags, lambda t: F.contains(F.regexp_extract(t, classes, 1), F.lit(class_token)))

@@ -59,28 +59,41 @@ def resolve_redirects(links: DataFrame, redirects: DataFrame | None, prefix: str
     ``redirects`` has ``(url, target)``. Equal links are merged before the join, so a link that
     every page carries reaches it once.
     """
-    hrefs = links.select("href").distinct()
+    return with_targets(links.select("href").distinct(), redirects, prefix)
+
+
+def with_targets(links: DataFrame, redirects: DataFrame | None, prefix: str | None) -> DataFrame:
+    """``links`` with the target of every href, in one left join, so that ``links`` is computed once.
+
+    The redirect side has a row per href, so the adaptive join can split a link that very many rows carry.
+    """
     if prefix is None:
-        return hrefs.select("href", F.col("href").alias("target"))
+        return links.withColumn("target", F.col("href"))
     through = T.has_prefix(F.col("href"), prefix)
-    direct = hrefs.where(~through).select("href", F.col("href").alias("target"))
     if redirects is None:
-        return direct
-    known = redirects.select(F.col("url").alias("href"), "target").where(F.col("target").isNotNull())
-    return direct.unionByName(hrefs.where(through).join(known, "href").select("href", "target"))
+        return links.where(~through).withColumn("target", F.col("href"))
+    known = redirects.select(F.col("url").alias("_from"), F.col("target").alias("_to")).where(F.col("target").isNotNull())
+    joined = links.join(known, (F.col("href") == F.col("_from")) & through, "left")
+    target = F.when(through, F.col("_to")).otherwise(F.col("href"))
+    return joined.withColumn("target", target).where(F.col("target").isNotNull()).drop("_from", "_to")
+
+
+def _named(urls: DataFrame) -> DataFrame:
+    """Rows that hold a URL at all."""
+    return urls.select("url").where(F.col("url") != "")
 
 
 def union_urls(*frames: DataFrame) -> DataFrame:
-    """Set union of URL frames."""
-    urls = frames[0].select("url")
+    """Set union of URL frames; NULL and empty ones are left out."""
+    urls = _named(frames[0])
     for frame in frames[1:]:
-        urls = urls.unionByName(frame.select("url"))
+        urls = urls.unionByName(_named(frame))
     return urls.dropDuplicates(["url"])
 
 
 def unseen_urls(urls: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct URLs that ``known`` does not hold."""
-    return urls.select("url").distinct().join(known.select("url"), "url", "left_anti")
+    """Distinct URLs that ``known`` does not hold; NULL and empty ones are left out."""
+    return _named(urls).distinct().join(known.select("url"), "url", "left_anti")
 
 
 def number_rows(df: DataFrame, key: str, start: Column, name: str = "id", buckets: int = 4096) -> DataFrame:

@@ -7,16 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shelfwatch.session import scratch_path
+
 
 def _match(columns: dict[str, str]):
     """Null-safe equality of column pairs."""
     return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in columns.items()])
 
 
-def _equal(columns: dict[str, str]):
-    return reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in columns.items()])
-
-
 def latest_snapshot(
     df: DataFrame,
     keys: Sequence[str] = ("urlId",),
@@ -54,72 +52,35 @@ def snapshot_change(
     ts: str = "timestamp",
     tie_break: Sequence[str] = (),
     deltas: Sequence[str] = (),
-    bucket: str = "hour",
-    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the key's preceding snapshot and ``<column>_delta``.
 
-    Rows are ordered by time, then ``tie_break``, then the columns themselves. A key of up to
-    ``hot_rows`` rows is one window group; a NULL key always is. Keys with more rows are handled
-    by ``_hot_changes``; without such keys that branch is an empty join and is not run.
-    """
-    order = list(dict.fromkeys([ts, *tie_break, *columns]))
-    renamed = {k: f"_key_{k}" for k in keys}
-    # At most (rows of the table / hot_rows) keys pass the filter, which bounds the broadcast.
-    hot = F.broadcast(
-        df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*[F.col(k).alias(r) for k, r in renamed.items()]))
-
-    window = Window.partitionBy(*keys).orderBy(*order)
-    plain = df.join(hot, _equal(renamed), "left_anti").withColumn("_prev", F.lag(F.struct(*columns)).over(window))
-    rows = df.join(hot, _equal(renamed)).select(*df.columns)
-    both = plain.unionByName(_hot_changes(rows, columns, keys, ts, order, bucket))
-    out = both.select(*df.columns, *[F.col("_prev")[c].alias(f"prev_{c}") for c in columns])
-    return out.select("*", *[(F.col(c) - F.col(f"prev_{c}")).alias(f"{c}_delta") for c in deltas])
-
-
-# Copies of one row that a single row of the restoring step stands for.
-_CHUNK = 1000
-
-
-def _hot_changes(df, columns, keys, ts, order, bucket):
-    """Preceding values for keys with very many rows, spread over tasks.
-
-    Equal rows travel as one row with a count, merged before the shuffle. The history of a key is
-    cut into time buckets: inside a bucket the preceding row is a plain ``lag``, and the first row
-    takes the last row of the key's preceding bucket from a summary, which has one row per bucket
-    and is thus bounded by elapsed time. Choose ``bucket`` so that the distinct rows of one bucket
-    fit a task. Copies are restored in chunks that are dealt out to all tasks.
+    Rows are ordered by time, then ``tie_break``, then the columns themselves; NULL is a key like
+    any other. Rows are dealt by range of key and order, with a mark that parts even equal rows, so
+    the history of a key is as many blocks as its size asks for. Inside a block the preceding row
+    is a plain ``lag``; the first row of a block takes the last row of the key's block before it,
+    from a summary with a row per key and block. The ranges are written to the shared folder, as a
+    second evaluation could cut them elsewhere. Every key takes this one path.
     """
     spark = df.sparkSession
-    renamed = {k: f"_key_{k}" for k in keys}
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    order = list(dict.fromkeys([ts, *tie_break, *columns]))
+    by = [*keys, *order, "_mark"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "change")
+    (df.withColumn("_mark", F.monotonically_increasing_id()).repartitionByRange(parts, *by)
+     .withColumn("_block", F.spark_partition_id()).write.parquet(path))
+    rows = spark.read.parquet(path)
     own = F.struct(*columns)
-    in_bucket = (rows
-                 .withColumn("_inside", F.lag(own).over(inside))
-                 .withColumn("_first", F.row_number().over(inside) == 1))
-
-    last = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = last.select(
-        *[F.col(k).alias(r) for k, r in renamed.items()],
-        F.col("_bucket").alias("_key_bucket"),
-        F.lag("_last").over(across).alias("_carry"),
-    ).where(F.col("_carry").isNotNull())
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order, "_mark")
+    in_block = rows.withColumns({"_before": F.lag(own).over(inside), "_place": F.row_number().over(inside)})
 
-    # Plain equality on the window's own keys: the wide side keeps its partitioning and order.
-    joined = in_bucket.join(carry, _equal({**renamed, "_bucket": "_key_bucket"}), "left")
+    renamed = {k: f"_key_{k}" for k in keys}
+    last = rows.groupBy(*keys, "_block").agg(F.max(F.struct(*order, "_mark")).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
+    carry = last.select(*[F.col(k).alias(r) for k, r in renamed.items()], F.col("_block").alias("_key_block"),
+                        earlier.alias("_carry")).where(F.col("_carry").isNotNull())
+    joined = in_block.join(carry, _match({**renamed, "_block": "_key_block"}), "left")
     carried = F.when(F.col("_carry").isNotNull(), F.struct(*[F.col("_carry")[c].alias(c) for c in columns]))
-    before = F.when(F.col("_first"), carried).otherwise(F.col("_inside"))
-
-    chunks = joined.select(*df.columns, "_copies", before.alias("_before"),
-                           F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _CHUNK))).alias("_chunk"))
-    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = F.least(F.lit(_CHUNK), F.col("_copies") - F.col("_chunk") * _CHUNK)
-    copies = dealt.select("*", F.explode(F.sequence(F.lit(1), size)).alias("_copy"))
-    first = (F.col("_chunk") == 0) & (F.col("_copy") == 1)
-    return copies.select(*df.columns, F.when(first, F.col("_before")).otherwise(own).alias("_prev"))
+    before = F.when(F.col("_place") == 1, carried).otherwise(F.col("_before"))
+    out = joined.withColumn("_prev", before).select(*df.columns, *[F.col("_prev")[c].alias(f"prev_{c}") for c in columns])
+    return out.select("*", *[(F.col(c) - F.col(f"prev_{c}")).alias(f"{c}_delta") for c in deltas])

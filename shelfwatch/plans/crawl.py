@@ -1,12 +1,14 @@
-"""Discovery: one hop of the frontier, and everything reachable."""
+"""Discovery: one hop of the frontier, and everything reachable; the refresh step."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwatch.functions.text import normalize_url
 from shelfwatch.operators.extract import extract_links
-from shelfwatch.operators.frontier import resolve_redirects, unseen_urls
+from shelfwatch.operators.frontier import advance_schedule, claim_due, merge_frontier, resolve_redirects, unseen_urls, with_targets
 from shelfwatch.session import scratch_path
 
 
@@ -39,10 +41,7 @@ def page_edges(
 ) -> DataFrame:
     """Distinct ``(src, dst)`` links between normalised URLs."""
     links = extract_links(pages, class_token=class_token, resolve=resolve)
-    if redirect_prefix is None:
-        reached = links.select("page", F.col("href").alias("target"))
-    else:
-        reached = links.join(resolve_redirects(links, redirects, redirect_prefix), "href")
+    reached = with_targets(links.select("page", "href").distinct(), redirects, redirect_prefix)
     edges = reached.select(normalize_url(F.col("page")).alias("src"),
                            normalize_url(F.col("target")).alias("dst"))
     return edges.where(F.col("src") != F.col("dst")).distinct()
@@ -84,3 +83,30 @@ def closure_of(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None)
 def crawl_closure(pages: DataFrame, seeds: DataFrame, max_hops: int | None = None, **links) -> DataFrame:
     """URLs reachable from the seeds over the links of a page table, page by page."""
     return closure_of(page_edges(pages, **links), seeds, max_hops)
+
+
+def discover(state: DataFrame, pages: DataFrame, seeds: DataFrame, now: datetime | Column, state_path: str,
+             max_hops: int | None = None, interval_minutes: int = 1440, **links) -> DataFrame:
+    """Everything reachable from the seeds, inserted into the crawl state where it is new.
+
+    The new state is written to ``state_path``, which must not be where ``state`` is read from, and
+    returned as read back. Running it again inserts nothing.
+    """
+    found = crawl_closure(pages, seeds, max_hops, **links)
+    merge_frontier(state, found, now, interval_minutes=interval_minutes).write.parquet(state_path)
+    return state.sparkSession.read.parquet(state_path)
+
+
+def refresh_step(state: DataFrame, now: datetime | Column, n: int, batch_path: str, state_path: str,
+                 status: str = "ACTIVE") -> tuple[DataFrame, DataFrame]:
+    """Claim the ``n`` rows due longest and reschedule exactly these: (claimed rows, new state).
+
+    The claimed rows are written before the new state is made from them, so neither changes when
+    it is evaluated again. Both paths must be new. The caller crawls the claimed rows, and
+    ``to_messages`` takes the pages on; the next step starts from the new state and claims others.
+    """
+    spark = state.sparkSession
+    claim_due(state, now, n, status).write.parquet(batch_path)
+    claimed = spark.read.parquet(batch_path)
+    advance_schedule(state, claimed, now).write.parquet(state_path)
+    return claimed, spark.read.parquet(state_path)

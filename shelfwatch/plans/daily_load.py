@@ -8,11 +8,22 @@ from datetime import date
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
-from shelfwatch.operators.dimensions import DIMENSIONS, derive_keys, merge_dimension, snapshot_fact
+from shelfwatch.operators.dimensions import (
+    BRAND_COLUMNS,
+    DIMENSIONS,
+    PRODUCT_COLUMNS,
+    SELLER_COLUMNS,
+    derive_keys,
+    snapshot_fact,
+)
 from shelfwatch.operators.snapshot import latest_snapshot
+from shelfwatch.schemas import LAKE_ROW, SNAPSHOT_FACT
 from shelfwatch.session import build_session
 from shelfwatch.sources.lake import read_day
-from shelfwatch.sources.warehouse import load_fact, replace_dimension
+from shelfwatch.sources.warehouse import load_fact, merge_into_dimension
+
+_USED = {*BRAND_COLUMNS, *SELLER_COLUMNS, *PRODUCT_COLUMNS, *SNAPSHOT_FACT.fieldNames()}
+NEEDED = [name for name in LAKE_ROW.fieldNames() if name in _USED]
 
 
 def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, ties: str = "keep") -> None:
@@ -22,17 +33,19 @@ def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, t
     row seen last wins, so days may be loaded again or out of order. One load at a time.
     """
     tie_break = ("price", "sellPrice", "sold", "seller", "brand", "title")
-    snapshot = latest_snapshot(read_day(spark, lake, day), ties=ties,
-                               tie_break=tie_break if ties == "one" else ())
+    # Description, breadcrumbs and label pairs, the widest columns of the lake, have no place in the
+    # warehouse: they are left in the files.
+    rows = read_day(spark, lake, day).select(*NEEDED)
+    snapshot = latest_snapshot(rows, ties=ties, tie_break=tie_break if ties == "one" else ())
     # Four writes read it; lost blocks are recomputed from the lake.
     snapshot = snapshot.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if snapshot.isEmpty():
             raise ValueError(f"the lake has no rows for {day}")
+        # Dimensions first: at no time does the fact hold a key that its dimension lacks.
+        for name, (_, _, build) in DIMENSIONS.items():
+            merge_into_dimension(spark, warehouse, name, build(snapshot))
         load_fact(snapshot_fact(derive_keys(snapshot)), f"{warehouse}/productSnapshotFact")
-        for name, (_, key, build) in DIMENSIONS.items():
-            replace_dimension(spark, warehouse, name,
-                              lambda state, build=build, key=key: merge_dimension(state, build(snapshot), key))
     finally:
         snapshot.unpersist()
 

@@ -136,14 +136,20 @@ REPORT_SQL = {
         ORDER BY products DESC, category ASC NULLS LAST
         LIMIT :n""",
     "potential_products": """
-        WITH sellers AS (
-            SELECT urlId, count(sellerId) AS seller_count FROM {productSnapshotFact} GROUP BY urlId
+        WITH groups AS (
+            SELECT urlId, sold, count(*) AS copies, count(sellerId) AS with_seller
+            FROM {productSnapshotFact} GROUP BY urlId, sold
+        ),
+        sellers AS (SELECT urlId, sum(with_seller) AS seller_count FROM groups GROUP BY urlId),
+        best AS (
+            SELECT p.title, g.sold, s.seller_count, g.urlId, least(g.copies, :n) AS copies
+            FROM groups g JOIN sellers s ON g.urlId = s.urlId JOIN {productDim} p ON g.urlId = p.urlId
+            ORDER BY s.seller_count ASC, g.sold DESC NULLS LAST, p.title ASC, g.urlId ASC
+            LIMIT :n
         )
-        SELECT p.title, f.sold, s.seller_count
-        FROM {productSnapshotFact} f
-        JOIN sellers s ON f.urlId = s.urlId
-        JOIN {productDim} p ON f.urlId = p.urlId
-        ORDER BY s.seller_count ASC, f.sold DESC NULLS LAST, p.title ASC, f.urlId ASC
+        SELECT title, sold, seller_count
+        FROM best LATERAL VIEW explode(sequence(1, copies)) AS copy
+        ORDER BY seller_count ASC, sold DESC NULLS LAST, title ASC, urlId ASC
         LIMIT :n""",
     "top_sold_brands": """
         WITH per_key AS (
@@ -166,8 +172,15 @@ REPORT_SQL = {
 }
 
 
-def run_report(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], n: int = 10) -> DataFrame:
-    """One of the SQL reports. ``tables`` maps table names to frames; ``n`` is a bound parameter."""
+def run_report(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], n: int = 10, history: bool = False,
+               as_of: date | str | None = None) -> DataFrame:
+    """One of the SQL reports. ``tables`` maps table names to frames; ``n`` is a bound parameter.
+
+    Units sold mean what they mean in the functions above: without ``history`` only the newest
+    snapshot of each product counts, up to ``as_of`` if given.
+    """
     text = REPORT_SQL[name]
     used = {t: df for t, df in tables.items() if "{" + t + "}" in text}
+    if name.startswith("top_sold") and "productSnapshotFact" in used:
+        used["productSnapshotFact"] = countable_fact(used["productSnapshotFact"], history, as_of)
     return spark.sql(text, args={"n": n} if ":n" in text else {}, **used)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.text import normalize_url
 from shelfwatch.operators import frontier as R
 from shelfwatch.operators.extract import extract_links
-from shelfwatch.plans.crawl import crawl_closure, expand_frontier
+from shelfwatch.plans.crawl import crawl_closure, discover, expand_frontier, refresh_step
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     SQL_DISCOVERED,
@@ -19,12 +19,12 @@ from shelfwatch.registry.tables import (
     stamp,
     table,
 )
+from shelfwatch.session import scratch_path
 
 _NOW = "1997-01-01 00:00:00"
 _SQL_DUE = f"""
 SELECT * FROM state WHERE status = 'ACTIVE' AND next_at <= TIMESTAMP '{_NOW}' ORDER BY next_at, id"""
 
-
 @query("due_urls", f"WITH {SQL_STATE} SELECT id, url FROM ({_SQL_DUE} LIMIT 500)")
 def due_urls(spark, d):
     return R.claim_due(crawl_state(spark, d), instant(_NOW), 500)
@@ -169,10 +169,80 @@ reach(url) AS (
 SELECT url FROM reach""")
 def closure_query(spark, d):
     """Everything reachable from the first page, when each link target lists its pages in turn."""
-    pages = table(spark, d, "pages")
-    links = extract_links(pages, class_token=None, resolve=False)
-    listings = links.select(
-        F.col("href").alias("url"), F.concat(F.lit('<a href="'), F.col("page"), F.lit('">back</a>')).alias("html"))
-    site = pages.select("url", "html").unionByName(listings)
-    first = pages.groupBy().agg(F.min_by("url", "page_id").alias("url"))
+    site, first = _two_way_site(spark, d)
     return crawl_closure(site, first, class_token=None, resolve=False).select("url")
+
+
+def _two_way_site(spark, d, prefix=""):
+    """The pages' links as a site of plain pages, with a listing for every target; and the first page."""
+    pages = table(spark, d, "pages")
+    links = extract_links(pages, class_token=None, resolve=False).select(
+        normalize_url(F.col("page")).alias("page"), normalize_url(F.col("href")).alias("href"))
+    anchor = lambda to: F.concat(F.lit(f'<a href="{prefix}'), F.col(to), F.lit('">go</a>'))
+    site = links.select(F.col("page").alias("url"), anchor("href").alias("html")).unionByName(
+        links.select(F.col("href").alias("url"), anchor("page").alias("html")))
+    return site, pages.groupBy().agg(F.min_by("url", "page_id").alias("url"))
+
+
+_SQL_REACH = """links AS (
+    SELECT split_part(url, '?', 1) AS page, split_part(href, '?', 1) AS href FROM (
+        SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+    WHERE href <> ''),
+edges AS (SELECT page AS src, href AS dst FROM links UNION SELECT href, page FROM links),
+reach(url) AS (
+    SELECT split_part(url, '?', 1) FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
+    UNION
+    SELECT dst FROM reach JOIN edges ON src = url)"""
+
+
+@query("discover", f"""
+WITH RECURSIVE {_SQL_REACH},
+known AS (SELECT split_part(url, '?', 1) AS url FROM pages WHERE page_id % 2 = 0)
+SELECT url, FALSE AS fresh FROM known UNION ALL
+SELECT url, TRUE FROM reach WHERE url NOT IN (SELECT url FROM known)""")
+def discover_query(spark, d):
+    """Pages with even numbers are known; what can be reached from the first page is added, once."""
+    site, first = _two_way_site(spark, d)
+    known = table(spark, d, "pages").where(F.col("page_id") % 2 == 0)
+    state = known.select(
+        F.col("page_id").alias("id"), normalize_url(F.col("url")).alias("url"), F.lit("ACTIVE").alias("status"),
+        F.lit("2024-01-01").cast("timestamp").alias("next_crawled_at"), F.lit(None).cast("timestamp").alias("last_crawled_at"),
+        F.lit(60).alias("crawl_interval"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    for _ in range(2):  # the second time adds nothing
+        state = discover(state, site, first, now, scratch_path(spark, "state"), class_token=None, resolve=False)
+    return state.select("url", (F.col("next_crawled_at") == now).alias("fresh"))
+
+
+@query("crawl_closure_redirects", """
+WITH RECURSIVE links AS (
+    SELECT split_part(url, '?', 1) AS page, split_part(href, '?', 1) AS href FROM (
+        SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+    WHERE href <> ''),
+edges AS (SELECT page AS src, href AS dst FROM links WHERE length(href) % 3 > 0 UNION
+          SELECT href, page FROM links WHERE length(page) % 3 > 0),
+reach(url) AS (
+    SELECT split_part(url, '?', 1) FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
+    UNION
+    SELECT dst FROM reach JOIN edges ON src = url)
+SELECT url FROM reach""")
+def closure_redirects(spark, d):
+    """The same site when every link goes through a redirect, and a third of the redirects are not known."""
+    site, first = _two_way_site(spark, d, "ad:")
+    targets = site.select("url").union(extract_links(site, class_token=None, resolve=False).select(F.expr("substr(href, 4)")))
+    known = targets.select(normalize_url(F.col("url")).alias("target")).distinct().where(F.length("target") % 3 > 0)
+    redirects = known.select(F.concat(F.lit("ad:"), F.col("target")).alias("url"), "target")
+    return crawl_closure(site, first, redirects=redirects, redirect_prefix="ad:", class_token=None, resolve=False).select("url")
+
+
+@query("refresh_steps", f"""
+WITH {SQL_STATE},
+due AS (SELECT id, url, row_number() OVER (ORDER BY next_at, id) AS r FROM state
+        WHERE status = 'ACTIVE' AND next_at <= TIMESTAMP '1999-01-01 00:00:00')
+SELECT CAST((r - 1) // 50 AS INTEGER) AS step, id, url FROM due WHERE r <= 100""")
+def refresh_steps(spark, d):
+    """Two refresh steps in a row claim different rows, and each batch stays as it was claimed."""
+    now = F.lit("1999-01-01").cast("timestamp")
+    first, state = refresh_step(crawl_state(spark, d), now, 50, scratch_path(spark, "batch"), scratch_path(spark, "state"))
+    second, _ = refresh_step(state, now, 50, scratch_path(spark, "batch"), scratch_path(spark, "state"))
+    return first.select(F.lit(0).alias("step"), "id", "url").unionByName(second.select(F.lit(1).alias("step"), "id", "url"))

@@ -9,8 +9,6 @@ from shelfwatch.plans import metric_series as M
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     EVENT_METRICS,
-    MONTH_END,
-    MONTH_START,
     SQL_HOSTS,
     SQL_POINTS,
     hosts,
@@ -20,8 +18,9 @@ from shelfwatch.registry.tables import (
     sql_stamp,
     stamp,
     table,
+    time_range,
 )
-from shelfwatch.sources.points import metric_catalog, metric_type_of, trailing_hours
+from shelfwatch.sources.points import METRIC_CATALOG, metric_catalog, metric_type_of, trailing_hours
 
 _KEYS = ("event_type", "user_id")
 
@@ -78,18 +77,12 @@ def aligner_choice(spark, d):
     return kinds.groupBy("metric_type", "delta").agg(F.count(F.lit(1)).alias("points"), F.count("v").alias("valued"))
 
 
+_SQL_CATALOG = ", ".join(str(row) for row in METRIC_CATALOG)
+
+
 @query("metric_catalog_points", f"""
 WITH {SQL_POINTS},
-catalog(resource, metric, metric_type) AS (VALUES
-    ('CPU', 'CPU utilization', 'compute.googleapis.com/instance/cpu/utilization'),
-    ('CPU', 'Processes by CPU Usage', 'agent.googleapis.com/processes/cpu_time'),
-    ('CPU', 'System Load per vCPU', 'agent.googleapis.com/cpu/load_1m'),
-    ('CPU', 'vCPU Core Usage', 'compute.googleapis.com/instance/cpu/usage_time'),
-    ('CPU', 'Unused vCPU Cores', 'compute.googleapis.com/instance/cpu/reserved_cores'),
-    ('Disk', 'Disk percent used', 'agent.googleapis.com/disk/percent_used'),
-    ('Memory', 'Memory percent used', 'agent.googleapis.com/memory/percent_used'),
-    ('Memory', 'Memory Bytes Used', 'agent.googleapis.com/memory/bytes_used'),
-    ('Network', 'Network sent bytes', 'compute.googleapis.com/instance/network/sent_bytes_count'))
+catalog(resource, metric, metric_type) AS (VALUES {_SQL_CATALOG})
 SELECT resource, metric, count(p.metric_type) AS points
 FROM catalog c LEFT JOIN points p ON c.metric_type = p.metric_type GROUP BY resource, metric""")
 def metric_catalog_points(spark, d):
@@ -136,8 +129,10 @@ def _final(df, digits=6):
                      F.round("metric_value", digits).alias("metric_value"))
 
 
-def _month():
-    return instant(MONTH_START), instant(MONTH_END)
+def _whole(spark, d):
+    """Points, hosts and the range that holds all points."""
+    rows = points(spark, d)
+    return rows, hosts(spark, d), *time_range(rows)
 
 
 _USED = "state = 'used'"
@@ -145,18 +140,18 @@ _USED = "state = 'used'"
 
 @query("cpu_utilization", _final_sql(_series_sql("CPU utilization")))
 def cpu_utilization(spark, d):
-    return _final(M.cpu_utilization(points(spark, d), hosts(spark, d), *_month()))
+    return _final(M.cpu_utilization(*_whole(spark, d)))
 
 
 @query("memory_percent_used", _final_sql(_series_sql("Memory percent used", where=_USED)))
 def memory_percent_used(spark, d):
-    return _final(M.memory_percent_used(points(spark, d), hosts(spark, d), *_month()))
+    return _final(M.memory_percent_used(*_whole(spark, d)))
 
 
 @query("memory_used_mib", _final_sql(
     _series_sql("Memory Bytes Used", where=_USED, factor="(1024.0::DOUBLE * 1024.0::DOUBLE)"), 9))
 def memory_used_mib(spark, d):
-    return _final(M.memory_used_mib(points(spark, d), hosts(spark, d), *_month()), 9)
+    return _final(M.memory_used_mib(*_whole(spark, d)), 9)
 
 
 _SQL_USED_CORES = _series_sql("vCPU Core Usage", "sum(v)", "1 day", "60.0::DOUBLE")
@@ -164,7 +159,7 @@ _SQL_USED_CORES = _series_sql("vCPU Core Usage", "sum(v)", "1 day", "60.0::DOUBL
 
 @query("cores_used", _final_sql(_SQL_USED_CORES))
 def cores_used(spark, d):
-    return _final(M.cores_used(points(spark, d), hosts(spark, d), *_month(), period="1 day"))
+    return _final(M.cores_used(*_whole(spark, d), period="1 day"))
 
 
 _SQL_UNUSED = f"""
@@ -180,7 +175,7 @@ SELECT {sql_stamp('timestamp')} AS ts, hostname, round(reserved, 6) AS reserved,
        round(metric_value, 6) AS metric_value
 FROM ({_SQL_UNUSED})""")
 def cores_unused(spark, d):
-    rows = M.cores_unused(points(spark, d), hosts(spark, d), *_month(), period="1 day")
+    rows = M.cores_unused(*_whole(spark, d), period="1 day")
     return rows.select(stamp("timestamp").alias("ts"), "hostname",
                        F.round("metric_value_reserved", 6).alias("reserved"),
                        F.round("metric_value_used", 6).alias("used"), F.round("metric_value", 6).alias("metric_value"))
@@ -199,7 +194,7 @@ def _catalogue_series(name, metric, event_type, function, aggregate):
     def run(spark, d):
         renamed = F.when(F.col("metric_type") == EVENT_METRICS[event_type], metric_type_of(metric))
         moved = points(spark, d).withColumn("metric_type", renamed)
-        return _final(function(moved, hosts(spark, d), *_month()))
+        return _final(function(moved, hosts(spark, d), *time_range(moved)))
     return run
 
 

@@ -13,6 +13,7 @@ from shelfwatch.operators.extract import (
     flat_links,
     flat_tag_text,
     flat_tag_texts,
+    rejected_messages,
 )
 from shelfwatch.operators.selectors import Selector, select_texts
 from shelfwatch.registry import query
@@ -165,7 +166,7 @@ def product_pages(spark, d):
 SQL_EXTRACTED = """
 WITH totals AS (
     SELECT l_partkey, CAST(sum(l_quantity) AS INTEGER) AS units, count(*) AS n FROM lineitem GROUP BY l_partkey)
-SELECT CAST(p_partkey AS INTEGER) AS url_id, p_name AS title, p_brand AS brand,
+SELECT p_partkey AS url_id, p_name AS title, p_brand AS brand,
        round(p_retailprice * 100) AS price, CAST(p_size AS DOUBLE) AS discount,
        round(p_retailprice * 100) * 2 AS sell_price, units AS sold,
        CAST('4.' || CAST(p_size % 10 AS VARCHAR) AS DOUBLE) AS product_rate,
@@ -212,6 +213,30 @@ def invalid_ids(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("kept")).select("kept", total.scalar().alias("pages"))
 
 
+@query("cut_off_pages", _SQL_TITLES)
+def cut_off_pages(spark, d):
+    """The given pages, cut off before the tag that ends the heading: the heading is read all the same."""
+    pages = table(spark, d, "pages")
+    cut = pages.withColumn("html", F.substring_index("html", "</h1", 1))
+    return select_texts(cut, {"title": Selector("h1")}, keep=("page_id",))
+
+
+@query("wide_ids", """
+SELECT page_id + 3000000000 AS url_id, length(html) AS chars, FALSE AS rejected FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, length(html), TRUE FROM pages WHERE page_id % 2 = 1""")
+def wide_ids(spark, d):
+    """Ids beyond 32 bits are kept; messages whose id has more digits than a number come back as rejected."""
+    pages = table(spark, d, "pages")
+    text = F.when(F.col("page_id") % 2 == 0, (F.col("page_id") + F.lit(3_000_000_000)).cast("string")).otherwise(
+        F.concat(F.lit("99999999999999999999"), F.col("page_id").cast("string")))
+    messages = pages.select(text.alias("urlId"), "html", F.lit("2024-01-01").cast("timestamp").alias("timestamp"), "page_id")
+    kept = extract_products(messages).select("urlId").join(
+        messages.withColumn("urlId", T.safe_long(F.col("urlId"))), "urlId")
+    size = F.length("html").cast("long").alias("chars")
+    return kept.select(F.col("urlId").alias("url_id"), size, F.lit(False).alias("rejected")).unionByName(
+        rejected_messages(messages).select(F.col("page_id").alias("url_id"), size, F.lit(True).alias("rejected")))
+
+
 # -- scalar text functions, on text built from columns ------------------------------------------
 
 @query("money_text", """

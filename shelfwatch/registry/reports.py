@@ -129,8 +129,8 @@ def titled_report(spark, d):
     return R.with_titles(R.top_sold_sellers(fact(spark, d), seller_rows(spark, d), 10, history=True))
 
 
-def _sql_surface(name, sql, n=10):
-    @query(f"sql_{name}", sql)
+def _sql_surface(name, sql, n=10, label="", **options):
+    @query(f"sql_{name}{label}", sql)
     def run(spark, d):
         rows = _brand_fact(spark, d)
         tables = {
@@ -139,7 +139,7 @@ def _sql_surface(name, sql, n=10):
             "brandDim": D.brand_dim(rows),
             "sellerDim": D.seller_dim(rows),
         }
-        return R.run_report(spark, name, tables, n)
+        return R.run_report(spark, name, tables, n, **options)
     return run
 
 
@@ -152,5 +152,10 @@ _sql_surface("top_categories", f"""
 WITH {SQL_CRAWL} SELECT category, count(*) AS products FROM {_PRODUCTS} GROUP BY category
 ORDER BY products DESC, category NULLS LAST LIMIT 5""", 5)
 _sql_surface("potential_products", _potential_sql("count(seller_id)"), 20)
-_sql_surface("top_sold_brands", f"WITH {SQL_CRAWL} {_top_sold_sql('brand', 'crawl')}")
-_sql_surface("top_sold_sellers", f"WITH {SQL_CRAWL} {_top_sold_sql('seller', 'crawl')}")
+_SQL_AS_OF = """newest AS (
+    SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY url_id ORDER BY ts DESC) AS r
+                   FROM crawl WHERE ts < TIMESTAMP '1998-07-01 00:00:00') WHERE r = 1)"""
+for _name, _column in (("top_sold_brands", "brand"), ("top_sold_sellers", "seller")):
+    _sql_surface(_name, f"WITH {SQL_CRAWL} {_top_sold_sql(_column, 'crawl')}", history=True)
+    _sql_surface(_name, f"WITH {SQL_CRAWL}, {SQL_NEWEST} {_top_sold_sql(_column, 'newest')}", label="_latest")
+    _sql_surface(_name, f"WITH {SQL_CRAWL}, {_SQL_AS_OF} {_top_sold_sql(_column, 'newest')}", label="_as_of", as_of="1998-06-30")

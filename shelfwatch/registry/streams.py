@@ -6,18 +6,25 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators.selectors import Selector
 from shelfwatch.registry import query
-from shelfwatch.registry.pages import SQL_TITLE
+from shelfwatch.registry.pages import SQL_EXTRACTED, SQL_TITLE, flat_rows, product_pages
 from shelfwatch.registry.tables import sql_bucket_end, sql_stamp, stamp, table
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.lake import read_lake
+from shelfwatch.sources.messages import read_crawl_stream
 from shelfwatch.streaming.align_stream import align_stream, write_series_stream
 from shelfwatch.streaming.extract_stream import run_extract_stream
 
 
 def stream_table(spark, d, name):
-    """The same table as a file stream."""
-    schema = table(spark, d, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d))
+    """The same table as a file stream, be it one file or a folder of files.
+
+    A stream reads folders only, so a single file is picked out of the folder it lies in.
+    """
+    rows = table(spark, d, name)
+    reader = spark.readStream.schema(rows.schema)
+    if all(f.endswith(f"/{name}.parquet") for f in rows.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return reader.parquet(f"{d}/{name}.parquet")
 
 
 def _finish(query_handle):
@@ -25,7 +32,7 @@ def _finish(query_handle):
 
 
 @query("stream_extract", f"""
-SELECT CAST(page_id AS INTEGER) AS url_id, {SQL_TITLE} AS title,
+SELECT page_id AS url_id, {SQL_TITLE} AS title,
        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d') AS day
 FROM pages""")
 def stream_extract(spark, d):
@@ -56,3 +63,31 @@ def stream_mean_1m(spark, d):
     rows = spark.read.parquet(path)
     return rows.select(stamp("timestamp").alias("ts"), "event_type", "user_id",
                        F.round("metric_value", 6).alias("metric_value"))
+
+
+def _write_messages(pages, path):
+    keyed = pages.select(F.col("urlId").cast("binary").alias("key"), F.col("html").cast("binary").alias("value"), "timestamp")
+    keyed.write.mode("append").parquet(path)
+
+
+@query("stream_products", SQL_EXTRACTED)
+def stream_products(spark, d):
+    """All fields of the product pages, from a message stream to the lake."""
+    topic, lake = scratch_path(spark, "topic"), scratch_path(spark, "stream-lake")
+    _write_messages(product_pages(spark, d), topic)
+    messages = read_crawl_stream(spark, "parquet", path=topic)
+    _finish(run_extract_stream(messages, lake, scratch_path(spark, "stream-state"), {"availableNow": True}))
+    return flat_rows(read_lake(spark, lake))
+
+
+@query("stream_restart", SQL_EXTRACTED)
+def stream_restart(spark, d):
+    """The stream stopped and started on one checkpoint: new messages are added once, old ones not again."""
+    topic, lake, state = (scratch_path(spark, n) for n in ("topic", "stream-lake", "stream-state"))
+    pages = product_pages(spark, d)
+    odd = F.pmod(F.col("urlId").cast("long"), F.lit(2)) == 1
+    for part in (pages.where(odd), pages.where(~odd), pages.limit(0)):
+        _write_messages(part, topic)
+        messages = read_crawl_stream(spark, "parquet", path=topic)
+        _finish(run_extract_stream(messages, lake, state, {"availableNow": True}))
+    return flat_rows(read_lake(spark, lake))

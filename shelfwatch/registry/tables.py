@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch.functions.text import normalize_url
 from shelfwatch.session import tune
+from shelfwatch.sources.points import metric_type_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def sql_stamp(column: str) -> str:
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as product snapshots: part = product, supplier = seller, quantity = sold."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("int").alias("urlId"),
+        F.col("l_partkey").alias("urlId"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"),
         F.col("l_quantity").cast("int").alias("sold"),
@@ -43,7 +44,7 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_FACT = """fact AS (
-    SELECT CAST(l_partkey AS INTEGER) AS url_id, l_extendedprice AS price, l_discount AS discount,
+    SELECT l_partkey AS url_id, l_extendedprice AS price, l_discount AS discount,
            CAST(l_quantity AS INTEGER) AS sold, l_shipdate AS ts, l_suppkey AS seller_id,
            l_orderkey AS order_no, l_linenumber AS line_no
     FROM lineitem)"""
@@ -55,7 +56,7 @@ SQL_FACT_ORDER = "order_no, line_no, seller_id, sold, price, discount"
 
 def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("int").alias("urlId"),
+        F.col("p_partkey").alias("urlId"),
         F.col("p_name").alias("title"),
         F.col("p_type").alias("category"),
     )
@@ -74,7 +75,7 @@ def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
               .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")))
     return joined.select(
-        F.col("l_partkey").cast("int").alias("urlId"),
+        F.col("l_partkey").alias("urlId"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("brand"),
         F.col("l_extendedprice").alias("price"),
@@ -96,7 +97,7 @@ def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_CRAWL = """crawl AS (
-    SELECT CAST(l_partkey AS INTEGER) AS url_id, p_name AS title, p_brand AS brand,
+    SELECT l_partkey AS url_id, p_name AS title, p_brand AS brand,
            l_extendedprice AS price, l_discount AS discount, p_retailprice AS sell_price,
            CAST(l_quantity AS INTEGER) AS sold, p_type AS category, l_returnflag AS brand_origin,
            l_linestatus AS made_in, s_name AS seller, l_discount AS seller_rate,
@@ -146,16 +147,10 @@ SQL_DISCOVERED = """discovered AS (
 
 # -- metrics --------------------------------------------------------------------------------
 
-# Which metric each event type stands for.
-EVENT_METRICS = {
-    "click": "compute.googleapis.com/instance/cpu/usage_time",
-    "error": "compute.googleapis.com/instance/cpu/utilization",
-    "purchase": "agent.googleapis.com/memory/bytes_used",
-    "signup": "agent.googleapis.com/memory/percent_used",
-    "view": "compute.googleapis.com/instance/cpu/reserved_cores",
-}
-
-MONTH_START, MONTH_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+# The series that each event type stands for, by name in the catalogue.
+EVENT_METRICS = {event: metric_type_of(metric) for event, metric in (
+    ("click", "vCPU Core Usage"), ("error", "CPU utilization"), ("purchase", "Memory Bytes Used"),
+    ("signup", "Memory percent used"), ("view", "Unused vCPU Cores"))}
 
 
 def points_of(events: DataFrame) -> DataFrame:
@@ -189,6 +184,12 @@ points AS (
     FROM keyed)"""
 
 
+def time_range(rows: DataFrame):
+    """The first and the last instant of the points, the last one excluded by a second's margin."""
+    low, high = rows.agg(F.min("ts"), F.timestamp_add("SECOND", F.lit(1), F.max("ts"))).first()
+    return F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named instances: customers in credit. The others have no name on record."""
     customers = table(spark, sf_dir, "customer")

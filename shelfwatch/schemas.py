@@ -30,7 +30,7 @@ MESSAGE = StructType([
 
 # One crawl row: the breadcrumb list and its last entry are both kept.
 CRAWL_ROW = StructType([
-    _field("urlId", IntegerType(), required=True),
+    _field("urlId", LongType(), required=True),
     _field("title", StringType(), required=True),
     _field("brand", StringType(), required=True),
     _field("price", DoubleType()),
@@ -68,7 +68,7 @@ SELLER_DIM = StructType([
 ])
 
 PRODUCT_DIM = StructType([
-    _field("urlId", IntegerType(), required=True),
+    _field("urlId", LongType(), required=True),
     _field("title", StringType(), required=True),
     _field("category", StringType()),
     _field("madeIn", StringType(), required=True),
@@ -77,7 +77,7 @@ PRODUCT_DIM = StructType([
 
 # The title lives in the product dimension only.
 SNAPSHOT_FACT = StructType([
-    _field("urlId", IntegerType(), required=True),
+    _field("urlId", LongType(), required=True),
     _field("price", DoubleType()),
     _field("discount", DoubleType()),
     _field("sellPrice", DoubleType(), required=True),
@@ -119,7 +119,8 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Select, order and cast to ``schema``; fill required text and numbers with "" and 0.0.
 
     Columns the frame lacks become NULL (or the default, when required). A required column
-    of any other type has no neutral value: rows with NULL there are dropped.
+    of any other type has no neutral value: rows with NULL there are dropped, and so are rows whose
+    value cannot be cast, as casts give NULL instead of failing the job.
     """
     present = set(df.columns)
     keys = [f.name for f in schema.fields
@@ -129,10 +130,14 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
         raise ValueError(f"required columns are missing: {missing}")
     columns = []
     for field in schema.fields:
-        column = F.col(field.name) if field.name in present else F.lit(None)
-        column = column.cast(field.dataType)
+        column = F.lit(None).cast(field.dataType)
+        if field.name in present:
+            column = F.col(field.name)
+            if df.schema[field.name].dataType != field.dataType:
+                column = column.try_cast(field.dataType)
         default = _REQUIRED_DEFAULTS.get(type(field.dataType))
         if not field.nullable and default is not None:
             column = F.coalesce(column, F.lit(default))
         columns.append(column.alias(field.name))
-    return df.dropna(subset=keys).select(*columns) if keys else df.select(*columns)
+    rows = df.select(*columns)
+    return rows.dropna(subset=keys) if keys else rows

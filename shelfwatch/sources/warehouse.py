@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
 
-from shelfwatch.operators.dimensions import DIMENSIONS, SEEN
+from shelfwatch.operators.dimensions import DIMENSIONS, SEEN, merge_dimension
 from shelfwatch.schemas import SNAPSHOT_FACT
 
-_LOAD = "loadNo"
-_SLOTS = ("a", "b")
-
 
 def overwrite_table(df: DataFrame, target: str | Mapping[str, str]) -> None:
     """Replace the contents of a Parquet path, or of a JDBC table given by its options.
@@ -46,36 +43,39 @@ def read_fact(spark: SparkSession, warehouse: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_FACT).parquet(f"{warehouse}/productSnapshotFact")
 
 
+# Hash buckets of a new dimension table; an existing one keeps the number it was made with.
+BUCKETS = {"brandDim": 4, "sellerDim": 4, "productDim": 16}
+_SLOTS = ("a", "b")
+_COMMITS = "loadNo long, bucket int, slot string, buckets int"
+
+
 def _state_schema(name: str) -> StructType:
     contract = DIMENSIONS[name][0]
-    return StructType(contract.fields + [StructField(SEEN, TimestampType()), StructField(_LOAD, LongType())])
+    return StructType(contract.fields + [StructField(SEEN, TimestampType())])
 
 
-def _slots(spark: SparkSession, warehouse: str, name: str) -> dict[str, tuple[int, DataFrame]]:
-    """Slots that hold a finished load, with its number."""
-    found = {}
-    for slot in _SLOTS:
-        try:
-            df = spark.read.schema(_state_schema(name)).parquet(f"{warehouse}/{name}/slot={slot}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        first = df.select(_LOAD).first()  # every row of a slot carries the same number
-        if first is not None:
-            found[slot] = (first[0], df)
-    return found
+def _versions(spark: SparkSession, warehouse: str, name: str) -> list[Row]:
+    """Per bucket the slot of its newest finished load; a row per bucket."""
+    try:
+        commits = spark.read.schema(_COMMITS).parquet(f"{warehouse}/{name}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    newest = commits.groupBy("bucket", "buckets").agg(F.max_by("slot", "loadNo").alias("slot"), F.max("loadNo").alias("loadNo"))
+    return newest.collect()
 
 
-def _current(slots):
-    return max(slots, key=lambda s: slots[s][0]) if slots else None
+def _rows_of(spark: SparkSession, warehouse: str, name: str, versions: list[Row]) -> DataFrame:
+    schema = StructType(_state_schema(name).fields + [StructField("bucket", IntegerType()), StructField("slot", StringType())])
+    wanted = F.concat_ws("/", "bucket", "slot").isin([f"{v['bucket']}/{v['slot']}" for v in versions])
+    return spark.read.schema(schema).parquet(f"{warehouse}/{name}/rows").where(wanted).drop("bucket", "slot")
 
 
 def dimension_state(spark: SparkSession, warehouse: str, name: str) -> DataFrame | None:
     """Current rows of a dimension with the time each was last seen; None before the first load."""
-    slots = _slots(spark, warehouse, name)
-    current = _current(slots)
-    return slots[current][1].drop(_LOAD) if current else None
+    versions = _versions(spark, warehouse, name)
+    return _rows_of(spark, warehouse, name, versions) if versions else None
 
 
 def read_dimension(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
@@ -86,20 +86,34 @@ def read_dimension(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return state.select(*contract.fieldNames())
 
 
-def replace_dimension(spark: SparkSession, warehouse: str, name: str, merge) -> None:
-    """Write ``merge(current state)`` next to the current state and make it current.
+def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame) -> None:
+    """Merge ``incoming`` (dimension rows with ``lastSeen``) into the table; the row seen last wins.
 
-    Two slots take turns: a load reads one and overwrites the other, so the table is never
-    overwritten while it is read, and a load that fails half-way leaves the current slot whole.
+    Rows lie in hash buckets of the key, and a load rewrites only the buckets it touches. A bucket has
+    two slots: the load reads the current one and writes the other, then commits by adding a line
+    per bucket to the commit log. A load that dies before that line, even with files of a slot half
+    in place, has changed nothing that is read. One load at a time.
     """
-    slots = _slots(spark, warehouse, name)
-    current = _current(slots)
-    number = slots[current][0] + 1 if current else 1
-    free = _SLOTS[1] if current == _SLOTS[0] else _SLOTS[0]
-    state = slots[current][1].drop(_LOAD) if current else None
-    fields = [f.name for f in _state_schema(name).fields]
-    rows = merge(state).withColumn(_LOAD, F.lit(number).cast("long")).select(*fields)
-    overwrite_table(rows, f"{warehouse}/{name}/slot={free}")
+    key = DIMENSIONS[name][1]
+    versions = _versions(spark, warehouse, name)
+    buckets = versions[0]["buckets"] if versions else BUCKETS[name]
+    load = max((v["loadNo"] for v in versions), default=0) + 1
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # a number per bucket
+    if not touched:
+        return
+    current = {v["bucket"]: v["slot"] for v in versions}
+    free = {b: _SLOTS[1] if current.get(b) == _SLOTS[0] else _SLOTS[0] for b in touched}
+    old = [v for v in versions if v["bucket"] in free]
+    state = _rows_of(spark, warehouse, name, old) if old else None
+    merged = merge_dimension(state, incoming, key).select(*_state_schema(name).fieldNames())
+    slots = F.create_map(*[F.lit(x) for b, s in free.items() for x in (b, s)])
+    (merged.withColumn("bucket", bucket).withColumn("slot", slots[F.col("bucket")])
+     .repartition(len(touched), "bucket")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "slot").parquet(f"{warehouse}/{name}/rows"))
+    lines = [(load, b, s, buckets) for b, s in free.items()]
+    spark.createDataFrame(lines, _COMMITS).coalesce(1).write.mode("append").parquet(f"{warehouse}/{name}/commits")
 
 
 def export_tables(spark: SparkSession, warehouse: str, targets: Mapping[str, str | Mapping[str, str]]) -> None:

@@ -75,8 +75,8 @@ def test_missing_parts_and_broken_pages_give_defaults(spark):
 
 
 def test_ids_that_are_not_integers_are_dropped(spark):
-    rows = extract(spark, ("12", ""), (" 13 ", ""), ("x", ""), (None, ""), ("99999999999", ""), ("1.5", ""))
-    assert sorted(rows) == [12, 13]
+    rows = extract(spark, ("12", ""), (" 13 ", ""), ("x", ""), (None, ""), ("99999999999", ""), ("99999999999999999999", ""), ("1.5", ""))
+    assert sorted(rows) == [12, 13, 99999999999]
 
 
 def test_labels_by_priority_last_wins_and_empty_value(spark):
@@ -109,6 +109,9 @@ def test_numbers_from_text(spark, ansi):
             1.5, 2.0, 1000.0, 0.5, 5.0, None, None, None, None, None, -1.0]
         assert one(spark, T.money, "1.234.000", "1,234", "1.234 ₫", "12 345", "liên hệ", "", None, "-5") == [
             1234000.0, 1234.0, 1234.0, 12345.0, None, None, None, -5.0]
+        assert one(spark, T.money, "100.000 - 200.000", "Hotline 0901234567", "2 for 300.000", "1.234.000đ", "VND 99,000", "12\xa0345 VNĐ") == [
+            None, None, None, 1234000.0, 99000.0, 12345.0]
+        assert one(spark, T.safe_long, "3000000000", "9223372036854775808", "x", None) == [3000000000, None, None, None]
         assert one(spark, T.discount, "-25%", "%", "", "-x%", None) == [25.0, None, None, None, None]
         assert one(spark, T.last_token_int, "sold 12", "12\xa0", "a\xa0b 7", "12 pcs", "", None) == [
             12, 12, 7, None, None, None]

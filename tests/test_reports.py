@@ -78,12 +78,16 @@ def test_sql_surface_equals_functions(spark, star, n):
         "total_sellers": R.total_sellers(star["sellerDim"]),
         "top_categories": R.top_categories(star["productDim"], n),
         "potential_products": R.potential_products(fact, star["productDim"], n),
-        "top_sold_brands": R.top_sold_brands(fact, star["brandDim"], n, history=True),
-        "top_sold_sellers": R.top_sold_sellers(fact, star["sellerDim"], n, history=True),
+        "top_sold_brands": R.top_sold_brands(fact, star["brandDim"], n),
+        "top_sold_sellers": R.top_sold_sellers(fact, star["sellerDim"], n),
     }
     assert set(same) == set(R.REPORT_SQL)
     for name, df in same.items():
         assert rows(R.run_report(spark, name, star, n)) == rows(df), name
+    for options in ({"history": True}, {"as_of": "2026-01-01"}):
+        df = R.top_sold_sellers(fact.withColumn("date", F.to_date("timestamp")), star["sellerDim"], n, **options)
+        tables = {**star, "productSnapshotFact": fact.withColumn("date", F.to_date("timestamp"))}
+        assert rows(R.run_report(spark, "top_sold_sellers", tables, n, **options)) == rows(df), options
 
 
 def test_top_n_is_a_bounded_sort(star):
