@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-PART_TURNS = 64
+PART_BITS = 6
+PART_TURNS = 1 << PART_BITS
 CONTEXT = ("system",)
 END = "<|end|>\n"
 _LAST = (1 << 63) - 1
@@ -39,7 +40,7 @@ def _header(turn: Column, me: Column, context: tuple[str, ...]) -> Column:
 def perspectives(turns: DataFrame, speaker: str = "role", context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """conv_id, speaker (the assistant), part, n_turns, text, masks: a row per participant and part."""
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(_LAST))
-    part = F.floor(turn / PART_TURNS).cast("long")
+    part = F.shiftright(turn, PART_BITS)
     who = _plain(F.col(speaker))
     narrow = turns.select("conv_id", part.alias("part"), who.alias("who")).distinct()
     cast = narrow.groupBy("conv_id").agg(
