@@ -44,7 +44,7 @@ def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, t
             raise ValueError(f"the lake has no rows for {day}")
         # Dimensions first: at no time does the fact hold a key that its dimension lacks.
         for name, (_, _, build) in DIMENSIONS.items():
-            merge_into_dimension(spark, warehouse, name, build(snapshot))
+            merge_into_dimension(spark, warehouse, name, build(snapshot), snapshot)
         load_fact(snapshot_fact(derive_keys(snapshot)), f"{warehouse}/productSnapshotFact")
     finally:
         snapshot.unpersist()

@@ -86,20 +86,22 @@ def read_dimension(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return state.select(*contract.fieldNames())
 
 
-def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame) -> None:
+def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame,
+                         source: DataFrame | None = None) -> None:
     """Merge ``incoming`` (dimension rows with ``lastSeen``) into the table; the row seen last wins.
 
     Rows lie in hash buckets of the key, and a load rewrites only the buckets it touches. A bucket has
     two slots: the load reads the current one and writes the other, then commits by adding a line
     per bucket to the commit log. A load that dies before that line, even with files of a slot half
-    in place, has changed nothing that is read. One load at a time.
+    in place, has changed nothing that is read. One load at a time. ``source`` may be a cached frame
+    with the same keys, from which the touched buckets are read sooner than from ``incoming``.
     """
     key = DIMENSIONS[name][1]
     versions = _versions(spark, warehouse, name)
     buckets = versions[0]["buckets"] if versions else BUCKETS[name]
     load = max((v["loadNo"] for v in versions), default=0) + 1
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # a number per bucket
+    touched = sorted(r[0] for r in (incoming if source is None else source).select(bucket).distinct().collect())  # a number per bucket
     if not touched:
         return
     current = {v["bucket"]: v["slot"] for v in versions}
@@ -112,8 +114,10 @@ def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incomin
      .repartition(len(touched), "bucket")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket", "slot").parquet(f"{warehouse}/{name}/rows"))
-    lines = [(load, b, s, buckets) for b, s in free.items()]
-    spark.createDataFrame(lines, _COMMITS).coalesce(1).write.mode("append").parquet(f"{warehouse}/{name}/commits")
+    lines = F.array(*[F.struct(F.lit(load).cast("long").alias("loadNo"), F.lit(b).alias("bucket"), F.lit(s).alias("slot"),
+                               F.lit(buckets).alias("buckets")) for b, s in free.items()])
+    commit = spark.range(1, numPartitions=1).select(F.explode(lines).alias("line")).select("line.*")
+    commit.write.mode("append").parquet(f"{warehouse}/{name}/commits")
 
 
 def export_tables(spark: SparkSession, warehouse: str, targets: Mapping[str, str | Mapping[str, str]]) -> None:

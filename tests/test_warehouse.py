@@ -222,7 +222,7 @@ def test_a_load_that_dies_between_data_and_commit_is_not_read(spark, tmp_path, m
     W.merge_into_dimension(spark, path, "brandDim", D.brand_dim(crawl(spark, DAY1)))
     before = sorted(W.read_dimension(spark, path, "brandDim").collect())
     later = D.brand_dim(crawl(spark, DAY2))
-    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **b: 1 / 0)  # the commit line cannot be written
+    monkeypatch.setattr(spark, "range", lambda *a, **b: 1 / 0)  # the commit line cannot be written
     with pytest.raises(ZeroDivisionError):
         W.merge_into_dimension(spark, path, "brandDim", later)
     monkeypatch.undo()
