@@ -52,13 +52,24 @@ def closure_of(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None)
 
     Breadth first, one job per hop. Edges and hops are written as tables to shared storage: a
     hop reads finished files instead of a growing lineage, parsing happens once, and a lost
-    executor costs its tasks only. The driver sees one flag per hop.
+    executor costs its tasks only. Edges lie in buckets of ``src``, so a hop shuffles its frontier and
+    not the edges. The driver sees one flag per hop.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "closure")
     edge_path, hop_path = f"{root}/edges", f"{root}/hops"
-    edges.write.parquet(edge_path)
-    edges = spark.read.parquet(edge_path)
+    name = "edges_" + root.rsplit("-", 1)[-1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
+     .option("path", edge_path).saveAsTable(name))
+    try:
+        return _hops(spark.table(name), seeds, max_hops, hop_path)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the entry only; the files are the caller's to clean up
+
+
+def _hops(edges: DataFrame, seeds: DataFrame, max_hops: int | None, hop_path: str) -> DataFrame:
+    spark = edges.sparkSession
 
     def write_hop(df, hop):
         df.write.parquet(f"{hop_path}/hop={hop}")

@@ -110,8 +110,13 @@ def cores_used(points, hosts, start, end, **options) -> DataFrame:
 
 
 def unused_from(reserved: DataFrame, used: DataFrame) -> DataFrame:
-    """Reserved minus used per time and host, never below zero."""
-    both = join_series(reserved, used, ("_reserved", "_used"))
+    """Reserved minus used per time and host, never below zero.
+
+    Where both series say which instance a row is of, instances that share a name are kept apart.
+    """
+    known = "instance_id" in reserved.columns and "instance_id" in used.columns
+    on = ("timestamp", "instance_id", "hostname") if known else ("timestamp", "hostname")
+    both = join_series(reserved, used, ("_reserved", "_used"), on)
     free = F.col("metric_value_reserved") - F.col("metric_value_used")
     return both.withColumn("metric_value", at_least(free, 0.0))
 
