@@ -21,7 +21,8 @@ def newest_per_key(
 ) -> DataFrame:
     """One row per key: the newest, then the lowest ``lowest``, then the greatest values.
 
-    A plain aggregate: every map task reduces a key to one row before the shuffle.
+    Every map task reduces a key to one row before the shuffle. As the greatest is a struct, Spark sorts
+    a task's rows by key to reduce them, which spills where it must.
     """
     attributes = [c for c in columns if c != key]
     order = [F.col(seen).alias("_seen")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark import StorageLevel
@@ -42,9 +43,14 @@ def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, t
     try:
         if snapshot.isEmpty():
             raise ValueError(f"the lake has no rows for {day}")
-        # Dimensions first: at no time does the fact hold a key that its dimension lacks.
-        for name, (_, _, build) in DIMENSIONS.items():
+        # Dimensions first: at no time does the fact hold a key that its dimension lacks. They are
+        # tables of their own, and their jobs are short, so they run side by side.
+        def merge(item):
+            name, (_, _, build) = item
             merge_into_dimension(spark, warehouse, name, build(snapshot), snapshot)
+
+        with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
+            list(pool.map(merge, DIMENSIONS.items()))
         load_fact(snapshot_fact(derive_keys(snapshot)), f"{warehouse}/productSnapshotFact")
     finally:
         snapshot.unpersist()
