@@ -23,6 +23,7 @@ SYMBOL = "[#*$%&|<>]"
 MIN_WORDS = 50
 MIN_DOCS = 100
 FENCE = 3
+BROADCAST_GROUPS = 100_000
 # Slack of each rate, in its own unit: rates are parts of 10,000, word length hundredths of a character.
 SLACK = {"symbol_rate": 200, "dup_line_rate": 5000, "repeat_rate": 3000, "word_length": 400}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -131,8 +132,14 @@ def thresholds(buckets: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with base_failed and kept, by a join with the thresholds of its group."""
+    """``measured`` with base_failed and kept, by a join with the thresholds of its group.
+
+    The thresholds are a row per language and source; up to ``BROADCAST_GROUPS`` of them are broadcast, so
+    that texts are not shuffled by so coarse a key. More are joined by shuffle.
+    """
     measured = without(measured, ["base_failed", "kept"])
+    limits = pin(limits, "limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     within = F.lit(True)
     for name, value in rates().items():
