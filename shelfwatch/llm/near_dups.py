@@ -302,7 +302,7 @@ def dedupe(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The columns of ``docs``, one document of each component. Documents without words all stay."""
     docs, back = shield(docs, [*RESULTS, "words", "__component"])
     rows = identified(docs)
-    found = _labelled(rows, size, percent).where("kept")
+    found = pin(_labelled(rows, size, percent).where("kept").select(ROW_FILE, ROW_INDEX, "words", "__component"), "kept")
     # Rows that share the smallest doc_id: one stays, whatever their number.
     best = found.where("words IS NOT NULL").groupBy("__component").agg(F.min(F.struct(ROW_FILE, ROW_INDEX)).alias("r"))
     stay = best.select("r.*").unionByName(found.where("words IS NULL").select(ROW_FILE, ROW_INDEX))
