@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, identified, shield, without
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, identified, pin, shield, without
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, c
     """The mixed corpus, with the columns of ``docs``: every document as often as it was drawn."""
     docs, back = shield(docs, [*RESULTS, *_INNER])
     rows = identified(docs)
-    drawn = plan_copies(rows.select(ROW_FILE, ROW_INDEX, "doc_id", "source", word_count(F.col("text")).alias("size")),
-                        seed, weights, cap).where("copies > 0")
+    sized = rows.select(ROW_FILE, ROW_INDEX, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    drawn = plan_copies(pin(sized, "sizes"), seed, weights, cap).where("copies > 0")  # words are counted once
     joined = rows.join(drawn.select(ROW_FILE, ROW_INDEX, "copies"), [ROW_FILE, ROW_INDEX])
     return back(joined.withColumn("__at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwatch.llm import chat, classifier, decontaminate, line_dedup, mixing, near_dups, rules, sharding, token_counts, warc
-from shelfwatch.llm.common import table
+from shelfwatch.llm.common import pin, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,7 +155,7 @@ SELECT doc_id, size, source_size, target,
 @query("op8_mixing", SQL_MIX)
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.plan_copies(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan_copies(pin(rows, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL_NEAR_DUPLICATES = f"""
