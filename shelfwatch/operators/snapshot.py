@@ -60,7 +60,9 @@ def snapshot_change(
     the history of a key is as many blocks as its size asks for. Inside a block the preceding row
     is a plain ``lag``; the first row of a block takes the last row of the key's block before it,
     from a summary with a row per key and block. The ranges are written to the shared folder, as a
-    second evaluation could cut them elsewhere. Every key takes this one path.
+    second evaluation could cut them elsewhere. Every key takes this one path. Marks count rows in the
+    order they come in, so ``df`` should be a read of files: a task that is run again must meet its
+    rows in the same order.
     """
     spark = df.sparkSession
     order = list(dict.fromkeys([ts, *tie_break, *columns]))
