@@ -227,5 +227,5 @@ def _warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return rows.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))

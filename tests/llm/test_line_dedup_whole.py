@@ -1,0 +1,66 @@
+"""What the query does beyond the default of ``dedupe_lines``: alike lines whatever their SimHash."""
+
+import random
+from itertools import combinations
+
+from odd import prose
+
+from shelfwatch.llm import line_dedup, queries
+
+
+def write(spark, folder, lines):
+    rows = [(i, line) for i, line in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def removed(spark, folder):
+    return {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op9_line_dedup"](spark, folder).collect()}
+
+
+def alike_lines():
+    """Lines of 30 to 300 characters and copies of them with 1 to 4 words replaced or a letter in forty changed."""
+    rng = random.Random(11)
+    lines = []
+    for i in range(60):
+        words = prose(rng.choice((5, 12, 25, 40)), 500 + i).split()
+        lines.append(" ".join(words))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 10))):
+                copy[rng.randrange(len(copy))] = "typo"
+            lines.append(" ".join(copy))
+            letters = list(" ".join(words))
+            for _ in range(len(letters) // 40 + 1):
+                letters[rng.randrange(len(letters))] = "x"
+            lines.append("".join(letters))
+    return lines
+
+
+def test_groups_are_those_of_all_pairs(spark, tmp_path):
+    lines = alike_lines()
+    forms = [b" ".join(line_dedup.words_of(x)) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(lines)), 2):
+        longer = max(len(forms[i]), len(forms[j]))
+        if 5 * abs(len(forms[i]) - len(forms[j])) <= longer and find(i) != find(j) and 5 * line_dedup.edit_distance(forms[i], forms[j]) <= longer:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in range(len(lines)) if find(i) != i}
+    got = {i for i, n in removed(spark, write(spark, tmp_path, lines)).items() if n}
+    assert got <= want and len(got) >= 0.97 * len(want) > 200
+
+
+def test_most_pairs_share_a_key():
+    lines = alike_lines()
+    words = [line_dedup.words_of(x) for x in lines]
+    forms = [b" ".join(w) for w in words]
+    _, keys = line_dedup.signatures(words, forms)
+    alike = [(i, j) for i, j in combinations(range(len(lines)), 2)
+             if i // 7 == j // 7 and 5 * line_dedup.edit_distance(forms[i], forms[j]) <= max(len(forms[i]), len(forms[j]))]
+    assert sum(bool(set(keys[i]) & set(keys[j])) for i, j in alike) >= 0.8 * len(alike) > 800
