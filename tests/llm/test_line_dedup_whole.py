@@ -1,4 +1,4 @@
-"""What the query does beyond the default of ``dedupe_lines``: alike lines whatever their SimHash."""
+"""What the query does beyond the default of ``dedupe_lines``: all lines with words, alike lines whatever their SimHash."""
 
 import random
 from itertools import combinations
@@ -64,3 +64,10 @@ def test_most_pairs_share_a_key():
     alike = [(i, j) for i, j in combinations(range(len(lines)), 2)
              if i // 7 == j // 7 and 5 * line_dedup.edit_distance(forms[i], forms[j]) <= max(len(forms[i]), len(forms[j]))]
     assert sum(bool(set(keys[i]) & set(keys[j])) for i, j in alike) >= 0.8 * len(alike) > 800
+
+
+def test_equal_lines_of_few_words(spark, tmp_path):
+    lines = ["short line", "Short line!", "", "---", "", "one", "ONE", "two", "本站内容未经许可不得转载。" * 8, "本站内容未经许可不得转载。" * 8,
+             "本站内容未经许可不得转载。" * 8 + "谢谢", "日本語の長い一行です" * 6, "tone", "a b c"]
+    got = removed(spark, write(spark, tmp_path, lines))
+    assert sorted(i for i, n in got.items() if n) == [1, 6, 9, 10]
