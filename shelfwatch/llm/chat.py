@@ -2,9 +2,10 @@
 
 For each participant of a conversation the dialogue is rendered with that speaker's turns as the
 assistant, everybody else's as named users, system turns as system, and mask spans over what the
-assistant says. A conversation is rendered in parts of ``PART_TURNS`` turn numbers, so no conversation
-is ever one group; spans count characters of the part's own text. Texts are shuffled once, by
-(conversation, part), together with narrow rows that bring each part the participants of its whole
+assistant says. A conversation is rendered in parts of ``PART_TURNS`` turn numbers. Turn numbers may repeat
+or be NULL, so a part of more rows than that is cut by position into pieces of ``PART_TURNS`` rows, in the
+order of turns: no group ever has more. Spans count characters of the piece's own text. Texts are shuffled once, by
+(conversation, part, piece), together with narrow rows that bring each part the participants of its whole
 conversation; the rotation itself is a map over the part.
 
 Results in special cases: turns are ordered by turn number (NULL last), speaker (NULL last), text;
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, identified, pin
+
 PART_BITS = 6
 PART_TURNS = 1 << PART_BITS
 CONTEXT = ("system",)
@@ -37,26 +40,46 @@ def _header(turn: Column, me: Column, context: tuple[str, ...]) -> Column:
             .otherwise(F.concat(F.lit("<|user|> "), who, F.lit("\n"))))
 
 
+def _placed(turns: DataFrame, said: Column, part: Column, large: DataFrame) -> DataFrame:
+    """conv_id, part, piece and said of the rows of large parts, each numbered inside its part."""
+    rows = identified(turns.select("conv_id", part.alias("part"), said.alias("said")))
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
+    rows = rows.join(large, same, "left_semi").select("conv_id", "part", "said.*", ROW_FILE, ROW_INDEX, F.lit(1).alias("one"))
+    # Ties in everything but the row are cut as well, so that a turn which is repeated often is many blocks.
+    order = ["turn", "nameless", "who", "text", ROW_FILE, ROW_INDEX]
+    rows = before(rows, ["conv_id", "part"], order, {"place": "one"}, "turn-places")
+    return rows.select("conv_id", "part", F.shiftright("place", PART_BITS).alias("piece"),
+                       F.struct("turn", "nameless", "who", "text").alias("said"))
+
+
 def perspectives(turns: DataFrame, speaker: str = "role", context: tuple[str, ...] = CONTEXT) -> DataFrame:
-    """conv_id, speaker (the assistant), part, n_turns, text, masks: a row per participant and part."""
+    """conv_id, speaker (the assistant), part, piece, n_turns, text, masks: a row per participant and piece."""
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(_LAST))
     part = F.shiftright(turn, PART_BITS)
     who = _plain(F.col(speaker))
-    narrow = turns.select("conv_id", part.alias("part"), who.alias("who")).distinct()
+    narrow = pin(turns.groupBy("conv_id", part.alias("part"), who.alias("who")).agg(F.count(F.lit(1)).alias("n")), "turn-counts")
+    sizes = narrow.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
     cast = narrow.groupBy("conv_id").agg(
-        F.collect_set(F.when((F.col("who") != "") & ~F.col("who").isin(*context), F.col("who"))).alias("cast"),
-        F.collect_set("part").alias("parts"))
+        F.collect_set(F.when((F.col("who") != "") & ~F.col("who").isin(*context), F.col("who"))).alias("cast"))
+    cast = cast.select(F.col("conv_id").alias("__conv"), F.array_sort("cast").alias("cast"))
     nothing = F.lit(None).cast("struct<turn:long,nameless:boolean,who:string,text:string>")
-    cast = cast.select("conv_id", F.explode("parts").alias("part"), F.array_sort("cast").alias("cast"), nothing.alias("said"))
+    last = F.shiftright(F.col("n") - 1, PART_BITS)
+    cast = sizes.join(cast, F.col("conv_id").eqNullSafe(F.col("__conv"))).select(
+        "conv_id", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), "cast", nothing.alias("said"))
     said = F.struct(turn.alias("turn"), (who == "").alias("nameless"), who.alias("who"), _plain(F.col("text")).alias("text"))
-    spoken = turns.select("conv_id", part.alias("part"), F.lit(None).cast("array<string>").alias("cast"), said.alias("said"))
-    parts = spoken.unionByName(cast).groupBy("conv_id", "part").agg(
+    large = pin(sizes.where(F.col("n") > PART_TURNS).select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")), "large-parts")
+    spoken = turns.select("conv_id", part.alias("part"), F.lit(0).cast("long").alias("piece"), said.alias("said"))
+    if not large.isEmpty():
+        same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
+        spoken = spoken.join(large, same, "left_anti").unionByName(_placed(turns, said, part, large))
+    spoken = spoken.withColumn("cast", F.lit(None).cast("array<string>"))
+    parts = spoken.unionByName(cast).groupBy("conv_id", "part", "piece").agg(
         F.sort_array(F.collect_list("said")).alias("said"), F.first("cast", ignorenulls=True).alias("cast"))
-    each = parts.select("conv_id", "part", "said", F.explode("cast").alias("speaker"))
+    each = parts.select("conv_id", "part", "piece", "said", F.explode("cast").alias("speaker"))
     pieces = F.transform("said", lambda t: F.struct(
         _header(t, F.col("speaker"), context).alias("header"), F.concat(t["text"], F.lit(END)).alias("body"),
         (t["who"] == F.col("speaker")).alias("mine")))
-    each = each.select("conv_id", "speaker", "part", pieces.alias("pieces"))
+    each = each.select("conv_id", "speaker", "part", "piece", pieces.alias("pieces"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,stop:long>>").alias("masks"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -66,6 +89,6 @@ def perspectives(turns: DataFrame, speaker: str = "role", context: tuple[str, ..
         return F.struct(stop.cast("long").alias("at"), F.when(p["mine"], F.concat(acc["masks"], span)).otherwise(acc["masks"]).alias("masks"))
 
     return each.select(
-        "conv_id", "speaker", "part", F.size("pieces").cast("long").alias("n_turns"),
+        "conv_id", "speaker", "part", "piece", F.size("pieces").cast("long").alias("n_turns"),
         F.array_join(F.flatten(F.transform("pieces", lambda p: F.array(p["header"], p["body"]))), "").alias("text"),
         F.aggregate("pieces", start, step)["masks"].alias("masks"))

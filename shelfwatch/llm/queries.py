@@ -202,7 +202,8 @@ FROM o GROUP BY conv_id, speaker, part"""
 def _chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.perspectives(table(spark, sf_dir, "conversations"))
     span = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["stop"]))
-    return rows.withColumn("masks", F.array_join(span, ","))
+    # The twin has no column for the piece; the pieces of a part of more than 64 rows are rows of one part number.
+    return rows.drop("piece").withColumn("masks", F.array_join(span, ","))
 
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
