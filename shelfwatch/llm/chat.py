@@ -92,3 +92,13 @@ def perspectives(turns: DataFrame, speaker: str = "role", context: tuple[str, ..
         "conv_id", "speaker", "part", "piece", F.size("pieces").cast("long").alias("n_turns"),
         F.array_join(F.flatten(F.transform("pieces", lambda p: F.array(p["header"], p["body"]))), "").alias("text"),
         F.aggregate("pieces", start, step)["masks"].alias("masks"))
+
+
+def offsets(rendered: DataFrame) -> DataFrame:
+    """conv_id, speaker, part, piece and offset: where the piece starts in the whole dialogue of its speaker, in characters.
+
+    The texts of a (conv_id, speaker) by offset are the dialogue; masks plus offset are its spans. ``rendered``
+    is what ``perspectives`` returns, best a written table.
+    """
+    narrow = rendered.select("conv_id", "speaker", "part", "piece", F.char_length("text").cast("long").alias("n_chars"))
+    return before(narrow, ["conv_id", "speaker"], ["part", "piece"], {"offset": "n_chars"}, "chat-offsets").drop("n_chars")
