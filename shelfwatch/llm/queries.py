@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwatch.llm import chat, classifier, decontaminate, line_dedup, mixing, near_dups, rules, sharding, token_counts, warc
+from shelfwatch.llm import alignment, chat, classifier, decontaminate, line_dedup, mixing, near_dups, rules, sharding, token_counts, warc
 from shelfwatch.llm.common import pin, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +54,8 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_token_counts")
 def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # optional: only the two queries with tokenizers need it
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -230,3 +231,11 @@ def _warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return rows.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+
+
+@query("op13_alignment")
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
