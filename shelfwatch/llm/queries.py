@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwatch.llm import alignment, chat, classifier, decontaminate, line_dedup, mixing, near_dups, rules, sharding, token_counts, warc
+from shelfwatch.llm import alignment, chat, classifier, decontaminate, licenses, line_dedup, mixing, near_dups, prefix_trie, rules, sharding, token_counts, warc
 from shelfwatch.llm.common import pin, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,68 @@ def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _sql_licenses() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    plan = licenses.Plan([(i, label, text) for i, (label, text) in enumerate(licenses.TEMPLATES)], {}, licenses.PERCENT)
+    by_number = {v: k.decode() for k, v in plan.words.items()}
+    rows = ", ".join(f"({i}, {quoted(label)}, {step}, {need}, {len(ids)}, {quoted(by_number[w])})"
+                     for i, label, step, ids, need in plan.templates for w in ids)
+    phrases = ", ".join(f"({quoted(p)}, {quoted(label)}, {len(p.split())})" for p, label in licenses.PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+t(template, label, step, need, size, word) AS (VALUES {rows}),
+p(phrase, label, size) AS (VALUES {phrases}),
+k AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+base AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+                list(DISTINCT label) AS held FROM (
+         SELECT d.r, p.label, i FROM d, p, unnest(range(len(w) - p.size + 1)) AS x(i)
+         WHERE len(w) >= p.size AND array_to_string(list_slice(w, i + 1, i + p.size), ' ') = p.phrase) GROUP BY r),
+b AS (SELECT DISTINCT r, step, unnest(CASE WHEN i >= step THEN [i // step, i // step - 1] ELSE [i // step] END) AS block, word
+      FROM k JOIN (SELECT DISTINCT step, word FROM t) USING (word)),
+m AS (SELECT r, template, label, count(*) / any_value(size) AS score FROM b JOIN t USING (step, word)
+      GROUP BY r, step, block, template, label HAVING count(*) >= any_value(need)),
+own AS (SELECT r, list(DISTINCT label) AS held, max(score) AS score FROM m GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first AS first_word, last AS last_word,
+       coalesce(base.labels, '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.held, []), coalesce(own.held, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.score, 0.0) END AS score
+FROM d LEFT JOIN base ON d.r = base.r LEFT JOIN own ON d.r = own.r"""
+
+
+@query("op12_license_scan", _sql_licenses())
+def _license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.find_licenses(docs)[0].select("doc_id", *licenses.RESULTS)
+
+
+# The table of the checksum's 256 bytes, from its polynomial, bit by bit.
+_CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b) ORDER BY b)
+                 FROM range(256) AS x(b))"""
+SQL_TRIE = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+t AS (SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS u, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(u ORDER BY turn NULLS FIRST, sha256(strlen(u.role) || ':' || u.role || u.text)) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, c - c % 5 AS base, CAST(xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda acc, b: xor(acc >> 8, crc.t[1 + (xor(acc, b) & 255)]), 4294967295)) % 9 AS INTEGER) AS h FROM own, crc),
+r AS (SELECT h.c, list_concat(list_slice(coalesce(b.l, []), 1, h.h), list_slice(h.l, h.h + 1, len(h.l))) AS l FROM h LEFT JOIN own b ON b.c = h.base),
+p AS (SELECT c, d, list_slice(l, 1, d) AS p, d = len(l) AS ends FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT d, p, min(c) AS conv_id, count(*) AS n, list_slice(p, 1, d - 1) AS up, (count(*) - 1) * coalesce(strlen(p[d].text), 0) AS cost,
+             sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends FROM p GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+below AS (SELECT a AS d, list_slice(p, 1, a) AS p, sum(leaf) AS leaves, sum(cost) AS saved FROM (
+          SELECT n.p, n.cost, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(n.d + 1)) AS a
+          FROM n LEFT JOIN kids ON n.d = kids.d AND n.p = kids.p) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, n.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN below ON n.d = below.d AND n.p = below.p LEFT JOIN kids ON n.d = kids.d AND n.p = kids.p
+LEFT JOIN n parent ON n.d > 0 AND parent.d = n.d - 1 AND parent.p = n.up"""
+
+
+@query("op11_prefix_trie", SQL_TRIE)
+def _prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs, turns = prefix_trie.rebuilt(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie_nodes(convs, turns)
