@@ -29,6 +29,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ from shelfwatch.llm.common import columns_of, map_batches, pin, without
 
 BATCH_BYTES = 1 << 22
 BATCH_ROWS = 1 << 16
-CACHE_BYTES = 1 << 24
+CACHE_BYTES = 1 << 25
+TEXT_CHARS = 1 << 14  # parts encoded in one text
 LONG_PART = 64  # characters; longer parts are not kept
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 _BLANK = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
 _CUT = re.compile(rf"(?<=[^{_BLANK}])(?= )")
 _ODD_SPACE = re.compile(rf"[{_BLANK}] ")
+_BLANK_END = re.compile(rf"[{_BLANK}]\Z")
 _BYTE_PIECE = re.compile(r"<0x[0-9A-Fa-f]{2}>")
 
 
@@ -94,7 +97,8 @@ class Aligner:
         self.valid = np.zeros(0, bool)
         self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
         self.link_start = np.zeros(1, np.int64)
-        self.links = np.zeros(0, np.int64)  # id of A * n_b + id of B
+        self.links = np.zeros(0, np.int64)  # places in pairs
+        self.pairs = np.zeros(0, np.int64)  # id of A * n_b + id of B, ascending
 
     def parts_of(self, text: str) -> list[str]:
         """Parts of space + text, each without the space that it begins with."""
@@ -104,15 +108,50 @@ class Aligner:
             return [part[1:] for part in _CUT.split(" " + text)]
         return text.split(" ")
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = [ids if p else [self.blank] for p, ids in zip(parts, self.b.encode(parts, num_threads=1))]
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = [ids if t else [self.blank] for t, ids in zip(texts, self.b.encode(texts, num_threads=1))]
         return a, b
 
+    def encoded(self, parts: list[str]) -> tuple[list[str], list[str], list[list[int]], list[list[int]]]:
+        """(parts in a new order, parts that a tokenizer changes, ids of A, ids of B).
+
+        Parts are encoded many in one text, as calls for single words cost more than the words; each ends in a visible
+        character, so their bounds are bounds of tokens. A text that comes back changed is encoded part by part.
+        """
+        texts, held, size = [], [], 0
+        for part in parts:
+            if not self.cuts or not part or _BLANK_END.search(part):
+                texts.append([part])
+                continue
+            held.append(part)
+            size += len(part)
+            if size >= TEXT_CHARS:
+                texts.append(held)
+                held, size = [], 0
+        if held:
+            texts.append(held)
+        order, changed, all_a, all_b = [], [], [], []
+        while texts:
+            again = []
+            joined = [" ".join(t) for t in texts]
+            for own, text, a, b in zip(texts, joined, *self.encode(joined)):
+                data = b" " + text.encode("utf-8", "surrogatepass")
+                if b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b)):
+                    order += own
+                    all_a.append(a)
+                    all_b.append(b)
+                elif len(own) > 1:
+                    again += [[part] for part in own]
+                else:
+                    changed += own
+            texts = again
+        return order, changed, all_a, all_b
+
     def aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> dict[str, np.ndarray]:
         """Tokens of all given parts in a row, their groups and links. The tokens of a part must cover the same bytes."""
-        a = np.fromiter((i for ids in ids_a for i in ids), np.int64)
-        b = np.fromiter((i for ids in ids_b for i in ids), np.int64)
+        a = np.fromiter(chain.from_iterable(ids_a), np.int64)
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64)
         n = len(a)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         start_a, start_b = end_a - self.size_a[a], end_b - self.size_b[b]
@@ -133,7 +172,7 @@ class Aligner:
         link_a = np.repeat(np.arange(n), per_a)
         link_b = np.arange(per_a.sum()) - np.repeat(np.cumsum(per_a) - per_a, per_a) + np.repeat(first_b, per_a)
         return {"a": a, "b": b, "group_a": group[:n], "group_b": group[n:], "link_a": link_a, "link_b": link_b,
-                "start_a": start_a, "start_b": start_b, "end_b": end_b}
+                "start_a": start_a, "end_a": end_a, "end_b": end_b}
 
     def _shown(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All groups as text, ``a1,a2|b1;`` and so on, and how long the text of each token is, in the order shown."""
@@ -151,30 +190,32 @@ class Aligner:
 
     def learn(self, parts: list[str]) -> None:
         """Encodes and aligns parts not met before; they get the next codes."""
-        ids_a, ids_b = self.encode(parts)
-        valid = np.zeros(len(parts), bool)
-        for i, part in enumerate(parts):
-            data = b" " + part.encode("utf-8", "surrogatepass")
-            valid[i] = b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == data == b"".join(map(self.bytes_b.__getitem__, ids_b[i]))
-            if not valid[i]:
-                ids_a[i], ids_b[i] = [], []
+        order, changed, ids_a, ids_b = self.encoded(parts)
         x = self.aligned(ids_a, ids_b)
-        n_a, n_b = np.array([len(i) for i in ids_a], np.int64), np.array([len(i) for i in ids_b], np.int64)
-        part_a, part_b = np.repeat(np.arange(len(parts)), n_a), np.repeat(np.arange(len(parts)), n_b)
-        ends = np.concatenate((x["group_b"][1:] != x["group_b"][:-1], [True])) if len(x["b"]) else np.zeros(0, bool)
-        n_groups = np.bincount(part_b[ends], minlength=len(parts))
-        n_links = np.bincount(part_a[x["link_a"]], minlength=len(parts))
+        ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) + 1 for p in order), np.int64, len(order)))
+        upto_a, upto_b = np.searchsorted(x["end_a"], ends, "right"), np.searchsorted(x["end_b"], ends, "right")
+        none = np.zeros(len(changed), np.int64)
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        part_a, part_b = np.repeat(np.arange(len(order)), n_a), np.repeat(np.arange(len(order)), n_b)
+        last = np.concatenate((x["group_b"][1:] != x["group_b"][:-1], [True])) if len(x["b"]) else np.zeros(0, bool)
+        n_groups = np.bincount(part_b[last], minlength=len(order))
+        n_links = np.bincount(part_a[x["link_a"]], minlength=len(order))
         text, sizes = self._shown(x)
-        upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_a + n_b)))]
+        upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], upto_a + upto_b))]
         data = text.tobytes()
         self.shown += [data[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist())]
-        for part in parts:
+        self.shown += [b""] * len(changed)
+        for part in (*order, *changed):
             self.codes[part] = len(self.codes)
         self.held_bytes += sum(map(len, parts)) + len(data)
-        self.valid = np.concatenate((self.valid, valid))
-        self.counts = np.concatenate((self.counts, np.stack((n_a, n_b, n_groups, n_links), 1)))
-        self.link_start = np.concatenate((self.link_start, self.link_start[-1] + np.cumsum(n_links)))
-        self.links = np.concatenate((self.links, x["a"][x["link_a"]] * self.n_b + x["b"][x["link_b"]]))
+        self.valid = np.concatenate((self.valid, np.ones(len(order), bool), none.astype(bool)))
+        counts = [np.concatenate((c, none)) for c in (n_a, n_b, n_groups, n_links)]
+        self.counts = np.concatenate((self.counts, np.stack(counts, 1)))
+        self.link_start = np.concatenate((self.link_start, self.link_start[-1] + np.cumsum(counts[3])))
+        links = x["a"][x["link_a"]] * self.n_b + x["b"][x["link_b"]]
+        pairs = np.union1d(self.pairs, links)
+        self.links = np.concatenate((np.searchsorted(pairs, self.pairs)[self.links], np.searchsorted(pairs, links)))
+        self.pairs = pairs
 
     def forget(self, kept: int) -> None:
         """Back to the first ``kept`` parts."""
@@ -188,14 +229,14 @@ class Aligner:
     def batch(self, texts: list[str | None]) -> dict:
         """Counts and digests per text, and per id pair the texts that hold it."""
         split = [self.parts_of(t) if t else [] for t in texts]
-        if self.held_bytes > CACHE_BYTES:
+        if self.held_bytes + 8 * len(self.pairs) > CACHE_BYTES:
             self.clear()
-        fresh = {p for parts in split for p in parts} - self.codes.keys()
-        self.learn(sorted(p for p in fresh if len(p) <= LONG_PART))
+        fresh = set(chain.from_iterable(split)) - self.codes.keys()
+        self.learn([p for p in fresh if len(p) <= LONG_PART])
         kept, kept_bytes = len(self.codes), self.held_bytes
-        self.learn(sorted(p for p in fresh if len(p) > LONG_PART))
+        self.learn([p for p in fresh if len(p) > LONG_PART])
         n_parts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((self.codes[p] for parts in split for p in parts), np.int64, int(n_parts.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(n_parts.sum()))
         row = np.repeat(np.arange(len(texts)), n_parts)
         good = (np.bincount(row[~self.valid[codes]], minlength=len(texts)) == 0) & (n_parts > 0)
         codes, row = codes[good[row]], row[good[row]]
@@ -209,12 +250,13 @@ class Aligner:
         part_row, part = both // max(1, len(self.codes)), both % max(1, len(self.codes))
         n_links = self.counts[part, 3]
         link = self.links[np.arange(n_links.sum()) - np.repeat(np.cumsum(n_links) - n_links, n_links) + np.repeat(self.link_start[part], n_links)]
-        pairs, local = np.unique(link, return_inverse=True)
-        held, inverse = np.unique(local * len(texts) + np.repeat(part_row, n_links), return_inverse=True)
-        n = np.bincount(inverse, np.repeat(times, n_links), len(held)).astype(np.int64)
+        held, n = _summed(link * len(texts) + np.repeat(part_row, n_links), np.repeat(times, n_links))
+        place = held // max(1, len(texts))
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        pairs = self.pairs[place[starts]]
+        starts = np.append(starts, len(held))
         self.forget(kept)
         self.held_bytes = kept_bytes
-        starts = np.searchsorted(held, np.arange(len(pairs) + 1) * len(texts))
         return {"sums": sums, "digests": digests, "pairs": pairs, "starts": starts, "rows": held % max(1, len(texts)), "n": n}
 
     def _digest(self, codes: np.ndarray) -> str:
@@ -225,6 +267,19 @@ class Aligner:
         return state.hexdigest()
 
 
+def _summed(keys: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sum of their amounts. Key and amount go into one number, as sorting numbers
+    is far quicker than sorting places, unless they don't fit."""
+    bits = int(amounts.max(initial=0)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 62:
+        held, inverse = np.unique(keys, return_inverse=True)
+        return held, np.bincount(inverse, amounts, len(held)).astype(np.int64)
+    packed = np.sort(keys << bits | amounts)
+    keys, amounts = packed >> bits, packed & ((1 << bits) - 1)
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(amounts, starts) if len(starts) else amounts
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
