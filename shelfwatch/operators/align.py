@@ -38,6 +38,13 @@ def align_mean(df: DataFrame, series: Sequence[str], value: str = "metric_value"
     return out.select(F.col("_w.end").alias("timestamp"), *series, value)
 
 
+def last_in_bucket(df: DataFrame, series: Sequence[str], value: str = "metric_value", ts: str = "ts",
+                   period: str = "1 minute", offset: str | None = None) -> DataFrame:
+    """The newest value per series and bucket as ``_last``; of points of one time, the greatest. Works on a stream, too."""
+    out = df.groupBy(_bucket(period, ts, offset).alias("_w"), *series).agg(F.max(F.struct(ts, value))[value].alias("_last"))
+    return out.select(F.col("_w.end").alias("timestamp"), *series, "_last")
+
+
 def align_delta(df: DataFrame, series: Sequence[str], value: str = "metric_value", ts: str = "ts",
                 period: str = "1 minute", kind: str = "delta", offset: str | None = None) -> DataFrame:
     """Change per series and bucket, stamped with the bucket end.
@@ -52,8 +59,7 @@ def align_delta(df: DataFrame, series: Sequence[str], value: str = "metric_value
         return out.select(F.col("_w.end").alias("timestamp"), *series, value)
     if kind != "cumulative":
         raise ValueError("kind must be 'delta' or 'cumulative'")
-    last = df.groupBy(window, *series).agg(F.max(F.struct(ts, value))[value].alias("_last"))
-    last = last.select(F.col("_w.end").alias("timestamp"), *series, "_last")
+    last = last_in_bucket(df, series, value, ts, period, offset)
     # At most one row per bucket: a series is bounded by the time range, not by its points.
     change = F.col("_last") - F.lag("_last").over(Window.partitionBy(*series).orderBy("timestamp"))
     out = last.withColumn("_change", change)

@@ -1,5 +1,4 @@
 """The crawl frontier as tables: claim, reschedule, split, resolve, merge."""
-
 from __future__ import annotations
 
 from datetime import datetime
@@ -8,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from shelfwatch.functions import text as T
 from shelfwatch.functions.time import add_minutes
+from shelfwatch.session import scratch_path
 
 
 def is_due(now: Column, status: str = "ACTIVE") -> Column:
@@ -53,8 +53,43 @@ def assign_workers(state: DataFrame, now: datetime | Column, n: int, workers: in
     return claimed.select("id", "url", F.floor((rank - 1) / n).cast("int").alias("worker"))
 
 
+def redirect_ends(redirects: DataFrame, prefix: str) -> DataFrame:
+    """Where the redirects ``(url, target)`` end: ``(url, target)`` with targets that are no redirect links themselves.
+
+    A URL is a redirect link if it has the prefix. A chain that leads to one without a known target, or into a cycle, has no
+    end; a URL with several targets has several. Chains are followed by pointer jumping: after round k the
+    ends within 2^k steps are known, and every pointer spans 2^k steps. A round that finds nothing new is the
+    last: an end farther away than 2^k steps would have one at 2^k + 1 steps on its way. So rounds follow the logarithm of the
+    longest chain, and cycles end with the first round that only they would go on. Rounds are written to shared
+    storage. A target that very many URLs share is a hot key on one side of the joins only, which the adaptive join splits.
+    """
+    step = (redirects.select("url", "target").where(F.col("target").isNotNull() & T.has_prefix(F.col("url"), prefix)).distinct())
+    onward = T.has_prefix(F.col("target"), prefix)
+    ends = step.where(~onward)
+    if step.where(onward).isEmpty():
+        return ends
+    spark = redirects.sparkSession
+    path = scratch_path(spark, "redirects")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    ends, jumps, k = written(ends, "ends-0"), written(step.where(onward), "jumps-0"), 0
+    while True:
+        k += 1
+        known = ends.select(F.col("url").alias("_via"), F.col("target").alias("_end"))
+        found = jumps.join(known, F.col("target") == F.col("_via")).select("url", F.col("_end").alias("target")).distinct()
+        found = written(found.join(ends, ["url", "target"], "left_anti"), f"ends-{k}")
+        if found.isEmpty():
+            return ends
+        ends = ends.unionByName(found)
+        far = jumps.select(F.col("url").alias("_via"), F.col("target").alias("_to"))
+        jumps = written(jumps.join(far, F.col("target") == F.col("_via")).select("url", F.col("_to").alias("target")).distinct(), f"jumps-{k}")
+
+
 def resolve_redirects(links: DataFrame, redirects: DataFrame | None, prefix: str | None) -> DataFrame:
-    """Distinct hrefs with their targets; redirect links without a known target are dropped.
+    """Distinct hrefs with the targets they end at; redirect links without a known end are dropped.
 
     ``redirects`` has ``(url, target)``. Equal links are merged before the join, so a link that
     every page carries reaches it once.
@@ -63,16 +98,16 @@ def resolve_redirects(links: DataFrame, redirects: DataFrame | None, prefix: str
 
 
 def with_targets(links: DataFrame, redirects: DataFrame | None, prefix: str | None) -> DataFrame:
-    """``links`` with the target of every href, in one left join, so that ``links`` is computed once.
+    """``links`` with the target that every href ends at, in one left join, so that ``links`` is computed once.
 
-    The redirect side has a row per href, so the adaptive join can split a link that very many rows carry.
+    The redirect side, from ``redirect_ends``, has a row per href, so the adaptive join can split a link that very many rows carry.
     """
     if prefix is None:
         return links.withColumn("target", F.col("href"))
     through = T.has_prefix(F.col("href"), prefix)
     if redirects is None:
         return links.where(~through).withColumn("target", F.col("href"))
-    known = redirects.select(F.col("url").alias("_from"), F.col("target").alias("_to")).where(F.col("target").isNotNull())
+    known = redirect_ends(redirects, prefix).select(F.col("url").alias("_from"), F.col("target").alias("_to"))
     joined = links.join(known, (F.col("href") == F.col("_from")) & through, "left")
     target = F.when(through, F.col("_to")).otherwise(F.col("href"))
     return joined.withColumn("target", target).where(F.col("target").isNotNull()).drop("_from", "_to")

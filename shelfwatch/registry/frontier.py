@@ -128,6 +128,32 @@ def link_frontier_redirects(spark, d):
     return expand_frontier(pages, visited, _redirects(spark, d), "https://", class_token=None)
 
 
+_CHAIN = 10
+
+
+@query("link_frontier_chains", f"""
+WITH {SQL_STATE},
+ends AS (SELECT DISTINCT l_partkey AS k, l_partkey // {_CHAIN} * {_CHAIN} + {_CHAIN} AS k_end FROM lineitem WHERE l_returnflag = 'R')
+SELECT DISTINCT 'https://shop.example/p' || CAST(target AS VARCHAR) AS url FROM (
+    SELECT l_partkey AS target FROM lineitem WHERE l_returnflag <> 'R'
+    UNION SELECT k_end FROM ends WHERE (k // {_CHAIN}) % 7 NOT IN (3, 5))
+WHERE 'https://shop.example/p' || CAST(target AS VARCHAR) NOT IN (SELECT url FROM state)""")
+def link_frontier_chains(spark, d):
+    """Ads that lead to the ad of the next product, ten in a row, the last to a product. Of every seven chains one ends
+    in a cycle and one at an ad that is not known."""
+    part, chain = F.col("p_partkey"), F.floor(F.col("p_partkey") / _CHAIN)
+    last = part % _CHAIN == _CHAIN - 1
+    ad = lambda n: F.concat(F.lit("https://ads.example/"), n.cast("string"))
+    end = (F.when(chain % 7 == 3, ad(chain * _CHAIN)).when(chain % 7 == 5, ad(-part))
+           .otherwise(F.concat(F.lit("https://shop.example/p"), (part + 1).cast("string"), F.lit("?ad=1"))))
+    # The last chain of the table may be cut off, so it is filled up.
+    rows = table(spark, d, "part").select("p_partkey").unionByName(
+        table(spark, d, "part").groupBy().agg(F.max("p_partkey").alias("p")).select(
+            F.explode(F.sequence(F.lit(0), F.lit(_CHAIN))).alias("i"), "p").select((F.col("p") + F.col("i")).alias("p_partkey"))).distinct()
+    redirects = rows.select(ad(part).alias("url"), F.when(last, end).otherwise(ad(part + 1)).alias("target"))
+    return expand_frontier(_listing_pages(spark, d), crawl_state(spark, d), redirects, "https://ads.example/")
+
+
 def _listing_pages(spark, d):
     """A listing page per order line: its product as a marked link, directly or through an ad."""
     part = F.col("l_partkey").cast("string")

@@ -2,31 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shelfwatch.operators.align import align_delta, align_mean
+from shelfwatch.operators.align import align_delta, align_mean, last_in_bucket
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class CounterChange(StatefulProcessor):
+    """Changes of one counter from bucket to bucket: the state is the last value of the bucket that closed last.
+
+    Buckets reach it closed and, over all batches, in order of time: the watermark only rises, and those
+    that one batch closes are sorted here. A counter that fell was reset and counts from zero; the first bucket of a
+    series, and one next to a bucket without a value, has no change.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("lastValue", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        buckets = pd.concat(list(rows)).sort_values("timestamp", ignore_index=True)
+        held = self.state.get() if self.state.exists() else None
+        before = None if held is None or pd.isna(held[0]) else float(held[0])
+        changes = []
+        for last in buckets["last"].astype(object):
+            last = None if pd.isna(last) else float(last)
+            change = None if last is None or before is None else last - before
+            changes.append(last if change is not None and change < 0 else change)
+            before = last
+        self.state.update((before,))
+        buckets["last"] = pd.Series(changes, dtype="float64")
+        yield buckets
+
+    def close(self) -> None:
+        pass
 
 
 def align_stream(points: DataFrame, series: Sequence[str], value: str = "metric_value", ts: str = "ts",
-                 period: str = "1 minute", late: str = "10 minutes", aligner: str = "mean") -> DataFrame:
+                 period: str = "1 minute", late: str = "10 minutes", aligner: str = "mean", kind: str = "delta") -> DataFrame:
     """Aligned buckets, each emitted once, when the watermark has passed its end.
 
-    State is one partial aggregate per open bucket and series; the watermark closes them.
+    State is one partial aggregate per open bucket and series; the watermark closes them. For
+    ``aligner="delta"``, ``kind`` is that of ``align_delta``: a cumulative counter keeps one more value per series,
+    its last one, in a second stage behind the closed buckets; so Python sees a row per bucket, not per point.
+    That stage needs the state store that ``write_series_stream`` sets for its query.
     """
     marked = points.withWatermark(ts, late)
     if aligner == "mean":
         return align_mean(marked, series, value, ts, period)
-    return align_delta(marked, series, value, ts, period)
+    if kind != "cumulative":
+        return align_delta(marked, series, value, ts, period, kind)
+    closed = last_in_bucket(marked, series, value, ts, period)
+    inner = [f"series{i}" for i in range(len(series))]  # the names of series and value are the caller's and may clash
+    closed = closed.toDF("timestamp", *inner, "last")
+    changes = closed.groupBy(*inner).transformWithStateInPandas(
+        CounterChange(), StructType(closed.schema.fields[:-1] + [StructField("last", DoubleType())]), outputMode="Append", timeMode="None")
+    return changes.toDF("timestamp", *series, value)
 
 
 def write_series_stream(series: DataFrame, path: str, checkpoint: str,
                         trigger: dict | None = None) -> StreamingQuery:
-    return (series.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "10 seconds"}))
-            .outputMode("append")
-            .start())
+    """Start the stream. Its session is copied at the start, so the state store is set for this query only."""
+    conf = series.sparkSession.conf
+    held = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return (series.writeStream.format("parquet")
+                .option("path", path)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": "10 seconds"}))
+                .outputMode("append")
+                .start())
+    finally:
+        conf.set(STATE_STORE, held)
