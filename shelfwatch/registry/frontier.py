@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.text import normalize_url
 from shelfwatch.operators import frontier as R
 from shelfwatch.operators.extract import extract_links
-from shelfwatch.plans.crawl import crawl_closure, discover, expand_frontier, refresh_step
+from shelfwatch.plans.closure_store import add_to_closure, start_closure
+from shelfwatch.plans.crawl import crawl_closure, discover, expand_frontier, page_edges, refresh_step
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     SQL_DISCOVERED,
@@ -221,6 +222,24 @@ reach(url) AS (
     SELECT dst FROM reach JOIN edges ON src = url)"""
 
 
+@query("crawl_closure_added", f"""
+WITH RECURSIVE {_SQL_REACH},
+steps(url, hop) AS (
+    SELECT split_part(url, '?', 1), 0 FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
+    UNION
+    SELECT dst, hop + 1 FROM steps JOIN edges ON src = url WHERE hop < 12)
+SELECT url, CAST(min(hop) AS INTEGER) AS hop FROM steps GROUP BY url""")
+def closure_added(spark, d):
+    """The same site when two thirds of its links are known at first and the rest comes in two updates: every hop as in one run."""
+    site, first = _two_way_site(spark, d)
+    edges = page_edges(site, class_token=None, resolve=False)
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(6))
+    path = scratch_path(spark, "closure-store")
+    start_closure(edges.where(part < 4), first, path, buckets=16)
+    add_to_closure(edges.where(part == 4), path)
+    return add_to_closure(edges.where(part == 5), path)
+
+
 @query("discover", f"""
 WITH RECURSIVE {_SQL_REACH},
 known AS (SELECT split_part(url, '?', 1) AS url FROM pages WHERE page_id % 2 = 0)
