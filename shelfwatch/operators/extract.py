@@ -128,6 +128,12 @@ def rejected_messages(messages: DataFrame) -> DataFrame:
     return messages.where(T.safe_long(F.col("urlId")).isNull())
 
 
+def reject_reason(url_id: Column) -> Column:
+    """Why a message has no place in the lake: ``no id``, or ``id is no whole number``; NULL for one that has."""
+    return (F.when(F.coalesce(T.strip(url_id), F.lit("")) == "", "no id")
+            .when(T.safe_long(url_id).isNull(), "id is no whole number"))
+
+
 def to_lake_rows(rows: DataFrame, zone: str | None = None) -> DataFrame:
     """Add the partition date. ``zone`` must be the one the daily load counts its days in."""
     return rows.withColumn("date", partition_date(F.col("timestamp"), zone))

@@ -9,10 +9,10 @@ from shelfwatch.registry import query
 from shelfwatch.registry.pages import SQL_EXTRACTED, SQL_TITLE, flat_rows, product_pages
 from shelfwatch.registry.tables import sql_bucket_end, sql_stamp, stamp, table
 from shelfwatch.session import scratch_path
-from shelfwatch.sources.lake import read_lake
+from shelfwatch.sources.lake import read_lake, read_rejects
 from shelfwatch.sources.messages import read_crawl_stream
 from shelfwatch.streaming.align_stream import align_stream, write_series_stream
-from shelfwatch.streaming.extract_stream import run_extract_stream
+from shelfwatch.streaming.extract_stream import run_extract_stream, run_split_stream
 
 
 def stream_table(spark, d, name):
@@ -132,3 +132,36 @@ def stream_restart(spark, d):
         messages = read_crawl_stream(spark, "parquet", path=topic)
         _finish(run_extract_stream(messages, lake, state, {"availableNow": True}))
     return flat_rows(read_lake(spark, lake))
+
+
+# Every third page comes without an id, or with one that is no whole number.
+_BAD_ID = {0: None, 3: "page-{}", 6: "{}.5", 9: " "}
+_SQL_BAD = "CASE page_id % 12 " + " ".join(
+    f"WHEN {k} THEN " + ("NULL" if v is None else "'" + v.replace("{}", "' || CAST(page_id AS VARCHAR) || '") + "'") for k, v in _BAD_ID.items()) + " END"
+
+
+@query("stream_rejected", f"""
+SELECT page_id, {_SQL_BAD} AS key, CASE WHEN page_id % 12 IN (0, 9) THEN 'no id' ELSE 'id is no whole number' END AS outcome,
+       CAST(length(html) AS BIGINT) AS html_chars, CAST(NULL AS VARCHAR) AS title FROM pages WHERE page_id % 3 = 0
+UNION ALL
+SELECT page_id, CAST(page_id AS VARCHAR), 'kept', NULL, {SQL_TITLE} FROM pages WHERE page_id % 3 <> 0""")
+def stream_rejected(spark, d):
+    """Kept and rejected messages of the running stream, which is stopped halfway and started on its checkpoint."""
+    number = F.col("page_id").cast("string")
+    key = F.when(F.col("page_id") % 3 != 0, number)
+    for k, v in _BAD_ID.items():
+        if v is not None:
+            key = F.when(F.col("page_id") % 12 == k, F.concat(*[F.lit(x) for x in v.split("{}")[:1]], *([number, F.lit(v.split("{}")[1])] if "{}" in v else []))).otherwise(key)
+    at = F.timestamp_add("SECOND", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    pages = table(spark, d, "pages").select("page_id", key.cast("binary").alias("key"), F.col("html").cast("binary").alias("value"), at.alias("timestamp"))
+    topic, lake, rejects, state = (scratch_path(spark, n) for n in ("topic", "stream-lake", "stream-rejects", "stream-state"))
+    for part in (0, 1):
+        pages.where(F.col("page_id") % 2 == part).drop("page_id").write.mode("append").parquet(topic)
+        messages = read_crawl_stream(spark, "parquet", path=topic)
+        _finish(run_split_stream(messages, lake, rejects, state, {"availableNow": True}, selectors={"title": Selector("h1")}))
+    of_page = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp"), F.col("timestamp")).alias("page_id")
+    lost = read_rejects(spark, rejects).select(of_page, F.col("urlId").alias("key"), F.col("reason").alias("outcome"),
+                                               F.length("html").cast("long").alias("html_chars"), F.lit(None).cast("string").alias("title"))
+    kept = read_lake(spark, lake).select(of_page, F.col("urlId").cast("string").alias("key"), F.lit("kept").alias("outcome"),
+                                         F.lit(None).cast("long").alias("html_chars"), "title")
+    return lost.unionByName(kept)

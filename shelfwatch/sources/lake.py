@@ -11,9 +11,27 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfwatch.schemas import LAKE_ROW
 
 
+# Messages that the stream could not take, as they came.
+REJECTED = "urlId string, html string, timestamp timestamp, reason string, date date"
+
+
 def read_lake(spark: SparkSession, root: str) -> DataFrame:
-    """All days. The schema is given, so no file is opened to infer it."""
-    return spark.read.schema(LAKE_ROW).parquet(root)
+    """All days. The schema is given, so no file is opened to infer it; folders of batches are no column."""
+    return spark.read.schema(LAKE_ROW).parquet(root).select(*LAKE_ROW.fieldNames())
+
+
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(REJECTED).parquet(root).select("urlId", "html", "timestamp", "reason", "date")
+
+
+def write_batch(rows: DataFrame, path: str, number: int) -> None:
+    """One micro-batch of dated rows into ``path``, in folders ``date=.../batch=<number>``; done again, it replaces itself.
+
+    Only the folders of this batch are replaced. The same messages have the same dates, so a repeated batch meets
+    exactly the folders it wrote before.
+    """
+    (rows.withColumn("batch", F.lit(number)).hint("rebalance", F.col("date"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path))
 
 
 def _has_commit_log(spark: SparkSession, root: str) -> bool:
@@ -37,7 +55,7 @@ def read_day(spark: SparkSession, root: str, day: date | str) -> DataFrame:
     if _has_commit_log(spark, root):
         return read_lake(spark, root).where(F.col("date") == F.lit(str(day)).cast("date"))
     path = f"{root.rstrip('/')}/date={day}"
-    return spark.read.schema(LAKE_ROW).option("basePath", root).parquet(path)
+    return spark.read.schema(LAKE_ROW).option("basePath", root).parquet(path).select(*LAKE_ROW.fieldNames())
 
 
 def write_lake_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
