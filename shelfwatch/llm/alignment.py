@@ -13,9 +13,9 @@ texts stay whole), so parts are encoded and aligned once, and a worker keeps the
 to a bound in bytes. Rows are taken in batches of about ``batch_bytes`` of text.
 
 Links (pairs of tokens that share bytes) leave a batch as a row per id pair, with the rows of the batch
-that hold it. Counts of id pairs are one aggregate with map-side sums; the join with them has a row per
-pair and batch, so a pair that every text has is not one long group, and sums per document are formed batch by
-batch. The best count per id of B is a table of at most its vocabulary and is broadcast.
+that hold it. Counts of id pairs are one aggregate with map-side sums; the join with them has a narrow row per
+pair and batch, so a pair that every text has is not one long group; its results meet the links again batch by
+batch, where sums per document are formed. The best count per id of B is a table of at most its vocabulary and is broadcast.
 
 Results in special cases: texts that are NULL, empty, or that one tokenizer changes (its tokens do not add up to
 space + text) have no tokens: zeros and an empty ``groups_sha256``; repeated rows each get a row and count
@@ -41,7 +41,7 @@ from shelfwatch.llm.common import columns_of, map_batches, pin, without
 
 BATCH_BYTES = 1 << 22
 BATCH_ROWS = 1 << 16
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 3 << 23
 TEXT_CHARS = 1 << 14  # parts encoded in one text
 LONG_PART = 64  # characters; longer parts are not kept
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -357,21 +357,26 @@ def align(docs: DataFrame, path_a: str, path_b: str, batch_bytes: int = BATCH_BY
     counts = pin(held.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.pmod("pair", of_b)), "pair-counts")
     best = counts.groupBy("b").agg(F.max("count").alias("highest"))
     marked = counts.join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    links = held.select("batch", "pair", "held_rows", "held_n").join(marked, "pair").drop("pair")
-
-    def sums(table: pa.Table) -> pa.Table:
-        sizes = np.array([len(x.as_py()) // 4 for x in table["held_rows"]], np.int64)
-        place = np.frombuffer(b"".join(table["held_rows"].to_pylist()), "<u4").astype(np.int64)
-        n = np.frombuffer(b"".join(table["held_n"].to_pylist()), "<u4").astype(np.int64)
+    of_batch = held.select(F.col("batch").alias("of_batch"), F.col("pair").alias("of_pair"))
+    of_batch = of_batch.join(marked, F.col("of_pair") == F.col("pair")).select("of_batch", "of_pair", "count", "best")
+
+    def sums(links: pa.Table, table: pa.Table) -> pa.Table:
+        """The sums of a batch's rows. Both sides have every pair of the batch once; only the narrow one went through the join."""
+        links, table = links.sort_by("pair"), table.sort_by("of_pair")
+        ends = np.cumsum([len(x.as_py()) // 4 for x in links["held_rows"]])
+        sizes = np.diff(ends, prepend=0)
+        place = np.frombuffer(b"".join(links["held_rows"].to_pylist()), "<u4").astype(np.int64)
+        n = np.frombuffer(b"".join(links["held_n"].to_pylist()), "<u4").astype(np.int64)
         count, is_best = np.repeat(table["count"].to_numpy(), sizes), np.repeat(table["best"].to_numpy(), sizes)
         best_n, total = np.zeros(place.max() + 1, np.int64), np.zeros(place.max() + 1, np.int64)
         np.add.at(best_n, place[is_best], n[is_best])
         np.add.at(total, place, n * count)
         seen = np.unique(place)
-        return pa.table({"sum_batch": pa.array(np.full(len(seen), table["batch"][0].as_py())), "sum_place": pa.array(seen.astype(np.int32)),
+        return pa.table({"sum_batch": pa.array(np.full(len(seen), links["batch"][0].as_py())), "sum_place": pa.array(seen.astype(np.int32)),
                          "n_best": pa.array(best_n[seen]), "count_sum": pa.array(total[seen])})
 
-    of_row = links.groupBy("batch").applyInArrow(sums, "sum_batch long, sum_place int, n_best long, count_sum long")
+    by_batch = held.select("batch", "pair", "held_rows", "held_n").groupBy("batch").cogroup(of_batch.groupBy("of_batch"))
+    of_row = by_batch.applyInArrow(sums, "sum_batch long, sum_place int, n_best long, count_sum long")
     joined = rows.join(of_row, (rows["batch"] == of_row["sum_batch"]) & (rows["place"] == of_row["sum_place"]), "left")
     return joined.select(*[F.col(i) for i in inner], "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"),
                          F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256").toDF(*names, *RESULTS)
