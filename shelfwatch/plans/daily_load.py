@@ -18,6 +18,7 @@ from shelfwatch.operators.dimensions import (
     snapshot_fact,
 )
 from shelfwatch.operators.snapshot import latest_snapshot
+from shelfwatch.plans.validity import update_validity
 from shelfwatch.schemas import LAKE_ROW, SNAPSHOT_FACT
 from shelfwatch.session import build_session
 from shelfwatch.sources.lake import read_day
@@ -27,8 +28,9 @@ _USED = {*BRAND_COLUMNS, *SELLER_COLUMNS, *PRODUCT_COLUMNS, *SNAPSHOT_FACT.field
 NEEDED = [name for name in LAKE_ROW.fieldNames() if name in _USED]
 
 
-def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, ties: str = "keep") -> None:
-    """Newest snapshot of one lake day into three dimensions and the fact.
+def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, ties: str = "keep", validity: bool = True) -> None:
+    """Newest snapshot of one lake day into three dimensions and the fact, and with ``validity`` into the table of
+    what counts when.
 
     The fact day is replaced, other days stay. Dimensions keep what earlier days brought; the
     row seen last wins, so days may be loaded again or out of order. One load at a time.
@@ -51,7 +53,10 @@ def run_daily(spark: SparkSession, lake: str, warehouse: str, day: date | str, t
 
         with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
             list(pool.map(merge, DIMENSIONS.items()))
-        load_fact(snapshot_fact(derive_keys(snapshot)), f"{warehouse}/productSnapshotFact")
+        fact = snapshot_fact(derive_keys(snapshot))
+        load_fact(fact, f"{warehouse}/productSnapshotFact")
+        if validity:
+            update_validity(fact, warehouse, day)
     finally:
         snapshot.unpersist()
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from shelfwatch.operators import align as A
-from shelfwatch.plans import metric_series as M
+from shelfwatch.plans import metric_series as M, rollups
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     EVENT_METRICS,
@@ -20,6 +22,7 @@ from shelfwatch.registry.tables import (
     table,
     time_range,
 )
+from shelfwatch.session import scratch_path
 from shelfwatch.sources.points import METRIC_CATALOG, metric_catalog, metric_type_of, trailing_hours
 
 _KEYS = ("event_type", "user_id")
@@ -66,6 +69,25 @@ def series_counter_1d(spark, d):
     return _rounded(A.align_delta(_events(spark, d), _KEYS, period="1 day", kind="cumulative"), *_KEYS)
 
 
+_ROLLED = "2024-01-03 05:07:03", "2024-01-27 18:30:20"
+
+
+@query("series_rolled_6h", f"""
+WITH inside AS (SELECT * FROM events WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '{_ROLLED[0]}' AND TIMESTAMP '{_ROLLED[1]}')
+SELECT {sql_stamp('t')} AS ts, user_id, round(v, 6) AS metric_value
+FROM ({_sql_aligned('6 hours', 'avg(value)', 'inside', 'user_id')})""")
+def series_rolled_6h(spark, d):
+    """A mean over a range whose ends cut hours and minutes: hours in the middle, minutes and raw points at the edges."""
+    points = table(spark, d, "events").select(
+        F.col("event_type").alias("metric_type"), F.col("user_id").cast("string").alias("user_id"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("metric_value"))
+    path = scratch_path(spark, "rollups")
+    rollups.roll_up(points, path, ["user_id"])
+    start, end = (datetime.fromisoformat(t) for t in _ROLLED)
+    series = rollups.rolled_series(points, path, "click", ["user_id"], start, end, period=6 * 3600)
+    return _rounded(series.withColumn("user_id", F.col("user_id").cast("long")), "user_id")
+
+
 @query("aligner_choice", f"""
 WITH {SQL_POINTS}
 SELECT metric_type, contains(metric_type, 'cpu_time') OR contains(metric_type, 'usage_time') AS delta,

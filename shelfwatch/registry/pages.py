@@ -16,6 +16,7 @@ from shelfwatch.operators.extract import (
     rejected_messages,
 )
 from shelfwatch.operators.selectors import Selector, select_texts
+from shelfwatch.operators.page_function import product_rows, register_page_functions
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import table
 from shelfwatch.sources.messages import decode_messages, to_messages
@@ -304,3 +305,12 @@ def label_text(spark, d):
         T.remove_chars(F.col("p_brand"), "#").alias("clean"), T.safe_int(F.col("p_type")).isNull().alias("no_int"),
         T.safe_int(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("an_int"),
         T.safe_double(F.col("p_retailprice").cast("string")).alias("a_double"))
+
+
+@query("function_page_fields", SQL_EXTRACTED)
+def function_page_fields(spark, d):
+    """The product pages through the SQL table function."""
+    own = spark.newSession()
+    register_page_functions(own)
+    product_pages(own, d).createOrReplaceTempView("pages")
+    return flat_rows(product_rows(own, "pages"))

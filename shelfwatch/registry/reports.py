@@ -8,6 +8,7 @@ from shelfwatch.functions.time import partition_date
 from shelfwatch.operators import dimensions as D
 from shelfwatch.operators.snapshot import latest_snapshot
 from shelfwatch.plans import reports as R
+from shelfwatch.plans.report_functions import create_report_functions
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import SQL_CRAWL, SQL_FACT, SQL_NEWEST, crawl_rows, fact, product_rows, seller_rows
 
@@ -159,3 +160,25 @@ for _name, _column in (("top_sold_brands", "brand"), ("top_sold_sellers", "selle
     _sql_surface(_name, f"WITH {SQL_CRAWL} {_top_sold_sql(_column, 'crawl')}", history=True)
     _sql_surface(_name, f"WITH {SQL_CRAWL}, {SQL_NEWEST} {_top_sold_sql(_column, 'newest')}", label="_latest")
     _sql_surface(_name, f"WITH {SQL_CRAWL}, {_SQL_AS_OF} {_top_sold_sql(_column, 'newest')}", label="_as_of", as_of="1998-06-30")
+
+
+def _sql_function(name, call, sql):
+    @query(f"function_{name}", sql)
+    def run(spark, d):
+        """Called in SQL; views and functions are those of a session of their own, so no other query sees them."""
+        own = spark.newSession()
+        rows = _brand_fact(own, d)
+        create_report_functions(own, {"productSnapshotFact": rows, "productDim": D.product_dim(rows), "brandDim": D.brand_dim(rows),
+                                      "sellerDim": D.seller_dim(rows)})
+        return own.sql(f"SELECT * FROM {call}")
+    return run
+
+
+_sql_function("potential_products", "potential_products(n => 20)", _potential_sql("count(seller_id)"))
+_sql_function("top_categories", "top_categories(5)", f"""
+WITH {SQL_CRAWL} SELECT category, count(*) AS products FROM {_PRODUCTS} GROUP BY category
+ORDER BY products DESC, category NULLS LAST LIMIT 5""")
+for _name, _column in (("top_sold_brands", "brand"), ("top_sold_sellers", "seller")):
+    _sql_function(_name, f"{_name}(10, history => true)", f"WITH {SQL_CRAWL} {_top_sold_sql(_column, 'crawl')}")
+    _sql_function(f"{_name}_latest", f"{_name}()", f"WITH {SQL_CRAWL}, {SQL_NEWEST} {_top_sold_sql(_column, 'newest')}")
+    _sql_function(f"{_name}_as_of", f"{_name}(as_of => DATE'1998-06-30')", f"WITH {SQL_CRAWL}, {_SQL_AS_OF} {_top_sold_sql(_column, 'newest')}")

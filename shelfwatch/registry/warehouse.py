@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shelfwatch.operators import dimensions as D
 from shelfwatch.operators.snapshot import latest_snapshot, snapshot_change
 from shelfwatch.plans.daily_load import run_daily
+from shelfwatch.plans.reports import top_sold_brands, top_sold_sellers
+from shelfwatch.plans.validity import snapshots_valid, update_validity
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     FACT_ORDER,
@@ -217,7 +219,7 @@ def daily_load(spark, d):
     lake, days = _yearly_lake(spark, d)
     warehouse = scratch_path(spark, "warehouse")
     for day in days:
-        run_daily(spark, lake, warehouse, day)
+        run_daily(spark, lake, warehouse, day, validity=False)  # its twin does not read it
     brands = read_dimension(spark, warehouse, "brandDim").select("brandId", "brand", "brandOrigin")
     sellers = read_dimension(spark, warehouse, "sellerDim").select("sellerId", "seller", "sellerRate")
     products = read_dimension(spark, warehouse, "productDim").select(
@@ -229,6 +231,38 @@ def daily_load(spark, d):
         F.col("sellerRate").alias("seller_rate"), "sold", "price", stamp("timestamp").alias("ts"))
 
 
+def _sql_valid(name, where=""):
+    return f"""
+WITH {SQL_CRAWL},
+newest AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY url_id ORDER BY ts DESC) AS r FROM crawl {where}) WHERE r = 1)
+SELECT {name}, CAST(sum(sold) AS BIGINT) AS sold FROM newest GROUP BY {name} ORDER BY sold DESC NULLS LAST, {name} LIMIT 10"""
+
+
+def _kept_validity(spark, d):
+    """The table after loading every year, the middle one last and one of them twice; and the names of brands and sellers."""
+    rows = D.derive_keys(crawl_rows(spark, d)).withColumn("date", F.to_date(F.date_trunc("year", F.col("timestamp"))))
+    fact_rows = D.snapshot_fact(rows)
+    years = sorted(r["date"] for r in fact_rows.select("date").distinct().collect())
+    warehouse = scratch_path(spark, "warehouse")
+    for year in [*years[:2], *years[3:], *years[2:3], *years[:1]]:
+        update_validity(fact_rows.where(F.col("date") == F.lit(year)), warehouse, year)
+    return warehouse, rows
+
+
+@query("top_sold_brands_valid", _sql_valid("brand"))
+def top_sold_brands_valid(spark, d):
+    """The newest snapshots are the open intervals."""
+    warehouse, rows = _kept_validity(spark, d)
+    return top_sold_brands(snapshots_valid(spark, warehouse), D.brand_dim(rows), 10, history=True)
+
+
+@query("top_sold_sellers_valid_as_of", _sql_valid("seller", "WHERE ts < TIMESTAMP '1998-01-01 00:00:00'"))
+def top_sold_sellers_valid_as_of(spark, d):
+    """What counted in the middle of 1997; the load period is a year."""
+    warehouse, rows = _kept_validity(spark, d)
+    return top_sold_sellers(snapshots_valid(spark, warehouse, "1997-06-30"), D.seller_dim(rows), 10, history=True)
+
+
 @query("overwrite_table", f"""
 WITH {SQL_FACT} SELECT url_id, count(*) AS snapshots FROM fact GROUP BY url_id""")
 def overwrite_twice(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType,
 
 from shelfwatch.operators.dimensions import DIMENSIONS, SEEN, merge_dimension
 from shelfwatch.schemas import SNAPSHOT_FACT
+from shelfwatch.sources.slots import read_parts, replace_parts
 
 
 def overwrite_table(df: DataFrame, target: str | Mapping[str, str]) -> None:
@@ -26,21 +27,16 @@ def overwrite_table(df: DataFrame, target: str | Mapping[str, str]) -> None:
 
 
 def load_fact(fact: DataFrame, path: str) -> None:
-    """Replace exactly the days the frame holds; other days stay.
+    """Replace exactly the days the frame holds; other days stay, and a load that dies has replaced none.
 
-    Rebalancing writes files of even size: it merges small partitions and splits a large one, be
-    it a hot product or copies of one row. Sorted files let readers skip row groups by product.
+    Files are sorted, so readers skip row groups by product.
     """
-    (fact.hint("rebalance", F.col("date"), F.col("urlId"))
-         .sortWithinPartitions("date", "urlId", "timestamp")
-         .write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("date")
-         .parquet(path))
+    days = [str(r[0]) for r in fact.select("date").distinct().collect()]  # a value per loaded day
+    replace_parts(fact, path, "date", days, sort=("urlId", "timestamp"))
 
 
 def read_fact(spark: SparkSession, warehouse: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_FACT).parquet(f"{warehouse}/productSnapshotFact")
+    return read_parts(spark, f"{warehouse}/productSnapshotFact", SNAPSHOT_FACT, "date")
 
 
 # Hash buckets of a new dimension table; an existing one keeps the number it was made with.
