@@ -59,23 +59,17 @@ def perspectives(turns: DataFrame, speaker: str = "role", context: tuple[str, ..
     who = _plain(F.col(speaker))
     narrow = pin(turns.groupBy("conv_id", part.alias("part"), who.alias("who")).agg(F.count(F.lit(1)).alias("n")), "turn-counts")
     sizes = narrow.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
-    cast = narrow.groupBy("conv_id").agg(
-        F.collect_set(F.when((F.col("who") != "") & ~F.col("who").isin(*context), F.col("who"))).alias("cast"))
-    cast = cast.select(F.col("conv_id").alias("__conv"), F.array_sort("cast").alias("cast"))
-    nothing = F.lit(None).cast("struct<turn:long,nameless:boolean,who:string,text:string>")
-    last = F.shiftright(F.col("n") - 1, PART_BITS)
-    cast = sizes.join(cast, F.col("conv_id").eqNullSafe(F.col("__conv"))).select(
-        "conv_id", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), "cast", nothing.alias("said"))
+    cast = narrow.where((F.col("who") != "") & ~F.col("who").isin(*context)).select(
+        F.col("conv_id").alias("__conv"), F.col("who").alias("speaker")).distinct()
     said = F.struct(turn.alias("turn"), (who == "").alias("nameless"), who.alias("who"), _plain(F.col("text")).alias("text"))
     large = pin(sizes.where(F.col("n") > PART_TURNS).select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")), "large-parts")
     spoken = turns.select("conv_id", part.alias("part"), F.lit(0).cast("long").alias("piece"), said.alias("said"))
     if not large.isEmpty():
         same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
         spoken = spoken.join(large, same, "left_anti").unionByName(_placed(turns, said, part, large))
-    spoken = spoken.withColumn("cast", F.lit(None).cast("array<string>"))
-    parts = spoken.unionByName(cast).groupBy("conv_id", "part", "piece").agg(
-        F.sort_array(F.collect_list("said")).alias("said"), F.first("cast", ignorenulls=True).alias("cast"))
-    each = parts.select("conv_id", "part", "piece", "said", F.explode("cast").alias("speaker"))
+    parts = spoken.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    # A row per participant on one side and per piece on the other: a conversation of very many of either is no single row.
+    each = parts.join(cast, F.col("conv_id").eqNullSafe(F.col("__conv"))).select("conv_id", "part", "piece", "said", "speaker")
     pieces = F.transform("said", lambda t: F.struct(
         _header(t, F.col("speaker"), context).alias("header"), F.concat(t["text"], F.lit(END)).alias("body"),
         (t["who"] == F.col("speaker")).alias("mine")))

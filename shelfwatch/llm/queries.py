@@ -185,26 +185,26 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CHAT = f"""
 WITH t AS (SELECT row_number() OVER () AS r, conv_id, coalesce(turn, 9223372036854775807) AS turn,
-                  replace(coalesce(role, ''), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') || '{chat.END.strip()}' || chr(10) AS body
+                  replace(coalesce(role, ''), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS said
            FROM conversations),
 p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who NOT IN ('', 'system')),
-s AS (SELECT t.conv_id, speaker, CAST(turn // {chat.PART_TURNS} AS BIGINT) AS part, who = speaker AS mine, body,
+n AS (SELECT *, CAST(turn // {chat.PART_TURNS} AS BIGINT) AS part, said || '{chat.END.strip()}' || chr(10) AS body,
+             row_number() OVER (PARTITION BY conv_id, turn // {chat.PART_TURNS} ORDER BY turn, who = '', who, said, r) AS k FROM t),
+s AS (SELECT n.conv_id, speaker, part, CAST((k - 1) // {chat.PART_TURNS} AS BIGINT) AS piece, k, who = speaker AS mine, body,
              CASE WHEN who = 'system' THEN '<|system|>' WHEN who = speaker THEN '<|assistant|>' WHEN who = '' THEN '<|user|>'
-                  ELSE '<|user|> ' || who END || chr(10) AS header,
-             row_number() OVER (PARTITION BY t.conv_id, speaker, turn // {chat.PART_TURNS} ORDER BY turn, who = '', who, body, r) AS k
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, CAST(sum(length(header) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k) AS BIGINT) AS stop FROM s)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(header || body, '' ORDER BY k) AS text,
+                  ELSE '<|user|> ' || who END || chr(10) AS header
+      FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, CAST(sum(length(header) + length(body)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY k) AS BIGINT) AS stop FROM s)
+SELECT conv_id, speaker, part, piece, count(*) AS n_turns, string_agg(header || body, '' ORDER BY k) AS text,
        coalesce(string_agg(CASE WHEN mine THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY k), '') AS masks
-FROM o GROUP BY conv_id, speaker, part"""
+FROM o GROUP BY conv_id, speaker, part, piece"""
 
 
 @query("op1_chat_perspectives", SQL_CHAT)
 def _chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.perspectives(table(spark, sf_dir, "conversations"))
     span = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["stop"]))
-    # The twin has no column for the piece; the pieces of a part of more than 64 rows are rows of one part number.
-    return rows.drop("piece").withColumn("masks", F.array_join(span, ","))
+    return rows.withColumn("masks", F.array_join(span, ","))
 
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
