@@ -67,15 +67,16 @@ def _sql_rules() -> str:
             "word_length": "CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END"}
     low = "(v - v % CAST(pow(2, greatest(len(bin(v)) - 6, 0)) AS BIGINT))"
     tall = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS v FROM m WHERE n_words > 0" for k, v in rate.items())
-    slack = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.SLACK.items()) + " END"
+    lo, hi, beyond = ("CASE rate " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in rules.FENCES.items()) + " END" for i in range(3))
+    prior = f"{rules.TRUST ** 2}::DOUBLE"
 
     def level(name: str, keys: str) -> str:
         part = f"PARTITION BY {keys} rate" if keys else "PARTITION BY rate"
-        return f"""{name} AS (SELECT {keys} rate, max(total) AS total,
-            min(CASE WHEN upto * 4 >= total * 3 THEN b END) + {rules.FENCE} * (min(CASE WHEN upto * 4 >= total * 3 THEN b END)
-            - min(CASE WHEN upto * 4 >= total THEN b END)) + {slack} AS fence FROM (
+        return f"""{name} AS (SELECT {keys} rate, total * total AS weight, CAST(hi + {beyond} * (hi - lo) AS DOUBLE) AS fence FROM (
+            SELECT {keys} rate, CAST(max(total) AS DOUBLE) AS total, min(CASE WHEN upto * 100 >= total * ({lo}) THEN b END) AS lo,
+                   min(CASE WHEN upto * 100 >= total * ({hi}) THEN b END) AS hi FROM (
             SELECT {keys} rate, b, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY b) AS upto FROM (
-            SELECT {keys} rate, b, sum(n) AS n FROM s GROUP BY {keys} rate, b)) GROUP BY {keys} rate)"""
+            SELECT {keys} rate, b, sum(n) AS n FROM s GROUP BY {keys} rate, b)) GROUP BY {keys} rate))"""
 
     within = " AND ".join(f"{v} <= max(CASE WHEN rate = '{k}' THEN fence END)" for k, v in rate.items())
     counts = "n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words"
@@ -92,9 +93,10 @@ m AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(array_to_strin
       FROM d JOIN ln ON d.r = ln.r LEFT JOIN rep ON d.r = rep.r),
 s AS (SELECT lang, source, rate, {low} AS b, count(*) AS n FROM ({tall}) GROUP BY ALL),
 {level('own', 'lang, source,')}, {level('lg', 'lang,')}, {level('al', '')},
-f AS (SELECT own.lang, own.source, own.rate, CASE WHEN own.total >= {rules.MIN_DOCS} THEN own.fence
-             WHEN lg.total >= {rules.MIN_DOCS} THEN lg.fence ELSE al.fence END AS fence
+g AS (SELECT own.lang, own.source, own.rate, (own.weight * own.fence + {prior} * ((lg.weight * lg.fence + {prior} * al.fence) / (lg.weight + {prior})))
+             / (own.weight + {prior}) AS fence
       FROM own JOIN lg ON own.lang IS NOT DISTINCT FROM lg.lang AND own.rate = lg.rate JOIN al ON own.rate = al.rate),
+f AS (SELECT lang, source, rate, floor(fence + fence / {rules.BUCKETS}) AS fence FROM g),
 v AS (SELECT m.r, doc_id, {counts}, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
              coalesce({within}, false) AS ok
       FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source

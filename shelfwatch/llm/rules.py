@@ -3,9 +3,12 @@
 Every document gets integer rates (symbols, repeated lines, repeated words, word length). Per
 language and source each rate is gathered in a quantile sketch: a histogram over buckets of 1/32
 relative width, which merges by adding counts, so it is one map-side combined aggregate with a
-bounded number of rows per group, however many rows a source has. The threshold of a rate is an
-upper fence over the middle half, q75 + 3 * (q75 - q25) + a slack; a group of fewer than
-``min_docs`` documents takes the merged sketch of its language, and if that is small too, of all.
+bounded number of rows per group, however many rows a source has. The threshold of a rate is a fence
+above two quantiles of its group, hi + k * (hi - lo), widened by one bucket. ``FENCES`` names them: word lengths lie
+around a middle, so quartiles serve; symbols are 0 in most prose, so the upper half is looked at, and where its
+tenth is 0, too, no symbols are the norm; repeated lines and words do occur in good prose, so only the last hundredth
+says what is too much. No threshold is a number given beforehand. The smaller a group, the more its threshold leans
+on that of its language, and that on the one of all: n documents have a weight of n^2 against ``TRUST``^2.
 
 Results in special cases: a NULL or empty text has no words, all counts 0, and fails the base
 rule. NULL languages and sources are groups of their own. Repeated rows each get the same verdict.
@@ -21,11 +24,11 @@ from shelfwatch.llm.common import columns_of, pin, shield, without
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
 MIN_WORDS = 50
-MIN_DOCS = 100
-FENCE = 3
+TRUST = 30  # documents at which a group's own threshold and that of its language weigh the same
+BUCKETS = 32  # of the sketch, between a value and its double
 BROADCAST_GROUPS = 100_000
-# Slack of each rate, in its own unit: rates are parts of 10,000, word length hundredths of a character.
-SLACK = {"symbol_rate": 200, "dup_line_rate": 5000, "repeat_rate": 3000, "word_length": 400}
+# Per rate the percents of the low and the high quantile and how far beyond them the fence stands.
+FENCES = {"symbol_rate": (50, 90, 3), "dup_line_rate": (90, 99, 1), "repeat_rate": (90, 99, 1), "word_length": (25, 75, 3)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -100,35 +103,43 @@ def sketch(measured: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _quantiles(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q25 and q75 of each merged sketch; a group has a bounded number of buckets."""
+def _of_rate(place: int) -> Column:
+    out = F.lit(0)
+    for rate, fence in FENCES.items():
+        out = F.when(F.col("rate") == rate, F.lit(fence[place])).otherwise(out)
+    return out
+
+
+def _fences(buckets: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Number of documents and fence of each merged sketch; a group has a bounded number of buckets."""
     merged = buckets.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rate")
     ranked = merged.select("*", F.sum("n").over(group).alias("total"), F.sum("n").over(group.orderBy("bucket")).alias("upto"))
-    return ranked.groupBy(*keys, "rate").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q25"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q75"))
 
+    def quantile(place: int) -> Column:
+        return F.min(F.when(F.col("upto") * 100 >= F.col("total") * _of_rate(place), F.col("bucket")))
 
-def thresholds(buckets: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per language and source with the upper fence of each rate."""
-    slack = F.lit(0)
-    for rate, value in SLACK.items():
-        slack = F.when(F.col("rate") == rate, value).otherwise(slack)
+    found = ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), quantile(0).alias("lo"), quantile(1).alias("hi"))
+    fence = F.col("hi") + _of_rate(2) * (F.col("hi") - F.col("lo"))
+    return found.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("rate").alias(f"{tag}_rate"),
+                        F.col("total").cast("double").alias(f"{tag}_total"), fence.cast("double").alias(f"{tag}_fence"))
 
-    def level(keys: list[str], tag: str) -> DataFrame:
-        fence = F.col("q75") + FENCE * (F.col("q75") - F.col("q25")) + slack
-        return _quantiles(buckets, keys).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("rate").alias(f"{tag}_rate"),
-                                                F.col("total").alias(f"{tag}_total"), fence.alias(f"{tag}_fence"))
 
-    own, lang, every = level(["lang", "source"], "own"), level(["lang"], "lang"), level([], "all")
+def thresholds(buckets: DataFrame, trust: int = TRUST) -> DataFrame:
+    """One row per language and source with the threshold of each rate."""
+    own, lang, every = _fences(buckets, ["lang", "source"], "own"), _fences(buckets, ["lang"], "lang"), _fences(buckets, [], "all")
     joined = (own.join(lang, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_rate") == F.col("lang_rate")))
               .join(every, F.col("own_rate") == F.col("all_rate")))
-    fence = (F.when(F.col("own_total") >= min_docs, F.col("own_fence"))
-             .when(F.col("lang_total") >= min_docs, F.col("lang_fence")).otherwise(F.col("all_fence")))
+    prior = F.lit(float(trust * trust))
+
+    def leaning(tag: str, other: Column) -> Column:
+        weight = F.col(f"{tag}_total") * F.col(f"{tag}_total")
+        return (weight * F.col(f"{tag}_fence") + prior * other) / (weight + prior)
+
+    fence = leaning("own", leaning("lang", F.col("all_fence")))
+    limit = F.floor(fence + fence / BUCKETS).cast("long")
     return joined.groupBy(F.col("own_lang").alias("__lang"), F.col("own_source").alias("__source")).agg(
-        *[F.max(F.when(F.col("own_rate") == r, fence)).alias(f"__max_{r}") for r in SLACK])
+        *[F.max(F.when(F.col("own_rate") == r, limit)).alias(f"__max_{r}") for r in FENCES])
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -148,15 +159,15 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
                          (~base_failed() & F.coalesce(within, F.lit(False))).alias("kept"))
 
 
-def adaptive_rules(docs: DataFrame, keep_text: bool = True, min_docs: int = MIN_DOCS) -> DataFrame:
+def adaptive_rules(docs: DataFrame, keep_text: bool = True, trust: int = TRUST) -> DataFrame:
     """``docs`` with counts, base_failed and kept. Texts are read once; the counts are written down,
     as both the sketches and the verdict need them. ``keep_text=False`` leaves the text out of that table."""
     measured = measure(docs)
     measured = pin(measured if keep_text else measured.drop("text"), "rules")
-    return judge(measured, thresholds(sketch(measured), min_docs))
+    return judge(measured, thresholds(sketch(measured), trust))
 
 
-def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def filter_documents(docs: DataFrame, trust: int = TRUST) -> DataFrame:
     """The columns of ``docs``, of the documents that the rules keep."""
     docs, back = shield(docs, [*COUNTS, "base_failed", "kept"])
-    return back(adaptive_rules(docs, min_docs=min_docs).where("kept"))
+    return back(adaptive_rules(docs, trust=trust).where("kept"))

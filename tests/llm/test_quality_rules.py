@@ -62,3 +62,29 @@ def test_sketches_merge(spark):
         for r in rules.sketch(part).collect():
             halves[tuple(r)[:-1]] += r["n"]
     assert whole == {(*k, n) for k, n in halves.items()}
+
+
+def test_no_threshold_is_given_beforehand(spark):
+    """Two sources whose ordinary documents have many symbols, or repeat many lines, get limits of their own for each rate."""
+    rows = []
+    for i in range(150):
+        rows.append((i, prose(80, i), "en", "prose"))
+        rows.append((1000 + i, " ".join(w + "|" * (k % 3) for k, w in enumerate(prose(60 + i % 40, i).split())), "en", "tables"))
+        lines = [prose(6, 5000 + 20 * i + k) for k in range(12)]
+        rows.append((2000 + i, "\n".join([*lines, *lines[:i % 5]]), "de", "lists"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r["__source"]: r for r in rules.thresholds(rules.sketch(rules.measure(docs))).collect()}
+    for rate in rules.FENCES:
+        assert len({limits[s][f"__max_{rate}"] for s in limits}) > 1, rate
+    assert limits["tables"]["__max_symbol_rate"] > 1000 > 300 > limits["prose"]["__max_symbol_rate"]
+    assert limits["lists"]["__max_dup_line_rate"] > 2000 > limits["prose"]["__max_dup_line_rate"]
+
+
+def test_weight_grows_with_the_group(spark):
+    """No jump at any size: the limit of a growing group goes from that of its language to its own."""
+    def sketch(n):
+        rows = [("en", "own", "word_length", 1000, n), ("en", "rest", "word_length", 500, 10_000)]
+        return spark.createDataFrame(rows, "lang string, source string, rate string, bucket long, n long")
+
+    got = [rules.thresholds(sketch(n)).where("__source = 'own'").first()["__max_word_length"] for n in (1, 10, 29, 30, 31, 99, 100, 1000)]
+    assert got == sorted(got) and got[0] == 516 and got[-1] >= 1030 and abs(got[6] - got[5]) <= 3 and abs(got[3] - got[2]) <= 10
