@@ -8,7 +8,8 @@ found as keys (one row per cut), so every row gets its new shard from a broadcas
 Shards that neither lose nor gain rows can be left as they are (``reshard_files``).
 
 Results in special cases: a row of size s is whole on one side of a cut, so a shard misses its capacity
-by about one row per block; rows with equal doc_id and text stay together; NULL doc_ids come first;
+by about one row per block; rows with equal doc_id and text are told apart by file and place in it, so copies of one
+row can be cut, between shards as between tasks; NULL doc_ids come first;
 a NULL text is size 1 like an empty one; an empty table gives no files and an empty result; empty
 old shards and more shards than rows are allowed; input columns named like a result are replaced.
 """
@@ -19,12 +20,13 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from shelfwatch.llm.common import before, columns_of, without
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, columns_of, identified, without
 from shelfwatch.session import scratch_path
 
 FILE_BYTES = 128 << 20
 RESULTS = ["shard", "slot"]
-_INNER = ["__old", "__size", "__key", "__hash", "__block", "__from", "__cuts"]
+_ORDER = ["__key", "__hash", ROW_FILE, ROW_INDEX]  # of the rows of a shard
+_INNER = [ROW_FILE, ROW_INDEX, "__old", "__size", "__key", "__hash", "__block", "__from", "__cuts"]
 
 
 def row_size(text: Column) -> Column:
@@ -93,7 +95,8 @@ def plan_blocks(old_sizes: list[int], capacities: list[int], cost=None) -> list[
 
 
 def _keyed(docs: DataFrame, old_shard: Column) -> DataFrame:
-    return docs.select(*columns_of(docs), old_shard.cast("int").alias("__old"), row_size(F.col("text")).alias("__size"),
+    rows = identified(docs.select(*columns_of(docs), old_shard.cast("int").alias("__old")))
+    return rows.select(*columns_of(docs), "__old", ROW_FILE, ROW_INDEX, row_size(F.col("text")).alias("__size"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__key"),
                        F.xxhash64("text").alias("__hash"))
 
@@ -103,7 +106,7 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, cos
     sizes, one for the cuts."""
     spark = docs.sparkSession
     keyed = _keyed(docs, old_shard)
-    narrow = keyed.select("__old", "__size", "__key", "__hash")
+    narrow = keyed.select("__old", "__size", *_ORDER)
     sizes = {r[0]: r[1] for r in narrow.groupBy("__old").agg(F.sum("__size")).collect()}  # a row per old shard
     old_sizes = [sizes.get(i, 0) for i in range(old_shards)]
     blocks = plan_blocks(old_sizes, equal_capacities(sum(old_sizes), shards), cost)
@@ -111,33 +114,32 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, cos
     wanted = spark.createDataFrame([(i, blocks[b][2], b) for i, b, _ in cuts] or [], "c_old int, c_at long, c_block int")
     found = {}
     if cuts:
-        placed = before(narrow, ["__old"], ["__key", "__hash"], {"__from": "__size"}, "shards")
+        placed = before(narrow, ["__old"], _ORDER, {"__from": "__size"}, "shards")
         hit = placed.join(F.broadcast(wanted), (F.col("__old") == F.col("c_old")) & (F.col("__from") <= F.col("c_at"))
                           & (F.col("c_at") < F.col("__from") + F.col("__size")))
         right = F.col("__from") * 2 + F.col("__size") >= F.col("c_at") * 2
-        found = {r["c_block"]: r for r in hit.select("c_block", "__key", "__hash", right.alias("right")).collect()}
-    lists = [(i, [(b, blocks[b][1], None if b not in found else found[b]["__key"], None if b not in found else found[b]["__hash"],
-                   b not in found or found[b]["right"]) for b in range(len(blocks)) if blocks[b][0] == i]) for i in range(old_shards)]
+        found = {r["c_block"]: (tuple(r[c] for c in _ORDER), r["right"]) for r in hit.select("c_block", *_ORDER, right.alias("right")).collect()}
+    lists = [(i, [(b, blocks[b][1], *found.get(b, (None, True))) for b in range(len(blocks)) if blocks[b][0] == i]) for i in range(old_shards)]
     held = spark.createDataFrame(
-        lists, "__of int, __cuts array<struct<block:int,shard:int,key:long,hash:long,own:boolean>>")
+        lists, "__of int, __cuts array<struct<block:int,shard:int,at:struct<key:long,hash:long,file:long,row:long>,own:boolean>>")
+    here = F.struct(*[F.col(c).alias(n) for c, n in zip(_ORDER, ("key", "hash", "file", "row"))])
 
     def later(best: Column, c: Column) -> Column:
-        after = (F.col("__key") > c["key"]) | ((F.col("__key") == c["key"]) & (
-            (F.col("__hash") > c["hash"]) | ((F.col("__hash") == c["hash"]) & c["own"])))
-        return F.when(c["key"].isNull() | after, F.struct(c["block"].alias("block"), c["shard"].alias("shard"))).otherwise(best)
+        after = (here > c["at"]) | ((here == c["at"]) & c["own"])
+        return F.when(c["at"].isNull() | after, F.struct(c["block"].alias("block"), c["shard"].alias("shard"))).otherwise(best)
 
     nowhere = F.struct(F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("shard"))
     joined = keyed.join(F.broadcast(held), F.col("__old") == F.col("__of"))
     at = F.aggregate("__cuts", nowhere, later)
     marked = joined.withColumn("__at", at)
-    return marked.select(*columns_of(docs), "__key", "__hash", F.col("__at.block").alias("__block"),
+    return marked.select(*columns_of(docs), *_ORDER, F.col("__at.block").alias("__block"),
                          F.col("__at.shard").alias("shard")), blocks
 
 
 def write_shards(assigned: DataFrame, total_bytes: int, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Files under ``path/shard=N/``, in the order of blocks and keys; one shuffle by range."""
     parts = max(int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // file_bytes))
-    order = ["shard", "__block", "__key", "__hash"]
+    order = ["shard", "__block", *_ORDER]
     (assigned.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*order[1:])
      .write.partitionBy("shard").parquet(path))
 
@@ -163,7 +165,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, co
     assigned, blocks = assign(docs, old_shard, old_shards, shards, cost)
     path = scratch_path(spark, "shards")
     write_shards(assigned, sum(b[3] - b[2] for b in blocks), path, file_bytes)
-    return read_shards(spark, path, assigned.drop("__key", "__hash", "__block").schema)
+    return read_shards(spark, path, assigned.drop(*_ORDER, "__block").schema)
 
 
 def affected(blocks: list[tuple[int, int, int, int]]) -> set[int]:

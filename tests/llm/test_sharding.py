@@ -70,3 +70,15 @@ def test_only_affected_files_are_rewritten(spark, tmp_path):
     assert folders[:2] == [f"{tmp_path}/old/shard={i}" for i in range(2)] and "old" not in folders[2].rsplit("/", 2)[-2]
     got = [{r["doc_id"] for r in spark.read.parquet(f).collect()} for f in folders]
     assert [len(g) for g in got] == [50] * 4 and set().union(*got) == set(range(200))
+
+
+def test_copies_without_id_are_cut(spark, tmp_path):
+    """A third of the rows is one text without doc_id: its copies go to several shards, and all stay near equal."""
+    rows = [(None, "copy of one long line " * 20)] * 300 + [(i, prose(40 + i % 30, i)) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = sharding.reshard(docs, F.lit(0), 1, 8).withColumn("size", sharding.row_size(F.col("text")))
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, docs.collect()))
+    sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * max(len(t) + 1 for _, t in rows)
+    assert out.where("doc_id IS NULL").select("shard").distinct().count() >= 2
