@@ -38,3 +38,17 @@ def test_pieces_are_safe(text):
 
 def test_long_texts_are_split():
     assert max(map(len, token_counts.pieces_of(prose(5000, 1)))) < 20
+
+
+def test_long_pieces_are_not_kept(monkeypatch):
+    """Text without blanks, in letters of several bytes, leaves nothing behind; the rest stays under its bound."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 2000)
+    counter, whole = token_counts.Counter(path, 300), Tokenizer.from_file(path)
+    texts = ["漢字かな交じり文" * 40, "plain words here", "x" * 500, "", "naïve café " * 30] + [f"word{i} other{i}" for i in range(50)]
+    for _ in range(3):
+        assert counter.counts(texts) == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+        assert all(token_counts.bytes_of(p) <= token_counts.LONG_PIECE for p in counter.lengths)
+    assert token_counts.bytes_of("é漢a") == 6
