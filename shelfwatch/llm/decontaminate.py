@@ -173,5 +173,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, dro
     found = find_hits(docs, benchmark, width, max_windows)
     if drop_documents:
         return back(found.where(~F.col("contaminated")))
-    cut = F.udf(lambda t, s: remove_spans(t, [(x["start"], x["stop"]) for x in s]), "string")
-    return back(found.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))))
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
+        columns = list(batch.columns)
+        spans = columns.pop()
+        texts = [remove_spans(t, [(x["start"], x["stop"]) for x in s or ()]) for t, s in zip(columns[at].to_pylist(), spans.to_pylist())]
+        columns[at] = pa.array(texts, columns[at].type)
+        return columns
+
+    return back(map_batches(found.select(*columns_of(docs), "hit_spans"), cut, docs.schema))
