@@ -65,6 +65,24 @@ def merge_dimension(current: DataFrame | None, incoming: DataFrame, key: str) ->
     return newest_per_key(both, key, columns, SEEN).select(*incoming.columns)
 
 
+def merge_streamed(current: DataFrame, incoming: DataFrame, key: str, few: bool = False) -> DataFrame:
+    """``merge_dimension`` for a large state and few incoming rows, both with one row per key, without an aggregate.
+
+    The state is only ever the streamed side of joins with incoming rows. With ``few``, which the caller has counted, these are
+    broadcast, and so are the ones of them that the state knows: the state is not shuffled.
+    """
+    side = F.broadcast if few else (lambda df: df)
+    attributes = [c for c in incoming.columns if c != key]
+    order = [SEEN, *[c for c in attributes if c != SEEN]]
+    new = incoming.select(F.col(key).alias("_key"), F.struct(*order).alias("_new"))
+    own = F.struct(*order)
+    best = F.when(F.col("_new").isNull() | (own >= F.col("_new")), own).otherwise(F.col("_new")).alias("_best")
+    joined = current.join(side(new), current[key] == F.col("_key"), "left").select(key, best)
+    kept = joined.select(key, *[F.col("_best")[c].alias(c) for c in attributes]).select(*incoming.columns)
+    known = current.select(F.col(key).alias("_known")).join(side(new.select("_key")), F.col("_known") == F.col("_key"), "left_semi")
+    return kept.unionByName(incoming.join(side(known), F.col(key) == F.col("_known"), "left_anti"))
+
+
 def lookup_key(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFrame:
     """Left join to a dimension for its surrogate key; unknown values get NULL.
 

@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
 
-from shelfwatch.operators.dimensions import DIMENSIONS, SEEN, merge_dimension
+from shelfwatch.operators.dimensions import DIMENSIONS, SEEN, merge_streamed
 from shelfwatch.schemas import SNAPSHOT_FACT
+from shelfwatch.session import scratch_path
 from shelfwatch.sources.slots import read_parts, replace_parts
 
 
@@ -39,8 +40,11 @@ def read_fact(spark: SparkSession, warehouse: str) -> DataFrame:
     return read_parts(spark, f"{warehouse}/productSnapshotFact", SNAPSHOT_FACT, "date")
 
 
-# Hash buckets of a new dimension table; an existing one keeps the number it was made with.
+# Fewest hash buckets of a new dimension table, and rows in each of a larger one. A table keeps the number it was made with;
+# a bucket that has grown is written by several tasks.
 BUCKETS = {"brandDim": 4, "sellerDim": 4, "productDim": 16}
+BUCKET_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000  # incoming rows of a load
 _SLOTS = ("a", "b")
 _COMMITS = "loadNo long, bucket int, slot string, buckets int"
 
@@ -82,32 +86,43 @@ def read_dimension(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return state.select(*contract.fieldNames())
 
 
-def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame,
-                         source: DataFrame | None = None) -> None:
+def merged_rows(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame, old: list[Row], rows: int) -> DataFrame:
+    """``rows`` incoming ones, one per key, merged with what the buckets ``old`` hold."""
+    if not old:
+        return incoming
+    return merge_streamed(_rows_of(spark, warehouse, name, old), incoming, DIMENSIONS[name][1], few=rows <= BROADCAST_ROWS)
+
+
+def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incoming: DataFrame) -> None:
     """Merge ``incoming`` (dimension rows with ``lastSeen``) into the table; the row seen last wins.
 
     Rows lie in hash buckets of the key, and a load rewrites only the buckets it touches. A bucket has
     two slots: the load reads the current one and writes the other, then commits by adding a line
     per bucket to the commit log. A load that dies before that line, even with files of a slot half
-    in place, has changed nothing that is read. One load at a time. ``source`` may be a cached frame
-    with the same keys, from which the touched buckets are read sooner than from ``incoming``.
+    in place, has changed nothing that is read. One load at a time.
+
+    The day's rows are written down and counted first. Up to ``BROADCAST_ROWS`` of them are broadcast to the old rows, which
+    are then read and written but not shuffled before the write; more are joined by shuffle. The write is
+    rebalanced: adaptive execution splits a bucket that is larger than a task should be.
     """
     key = DIMENSIONS[name][1]
+    path = scratch_path(spark, f"incoming-{name}")
+    incoming.select(*_state_schema(name).fieldNames()).write.parquet(path)
+    incoming = spark.read.schema(_state_schema(name)).parquet(path)
+    rows = incoming.count()
+    if not rows:
+        return
     versions = _versions(spark, warehouse, name)
-    buckets = versions[0]["buckets"] if versions else BUCKETS[name]
+    buckets = versions[0]["buckets"] if versions else max(BUCKETS[name], -(-rows // BUCKET_ROWS))
     load = max((v["loadNo"] for v in versions), default=0) + 1
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = sorted(r[0] for r in (incoming if source is None else source).select(bucket).distinct().collect())  # a number per bucket
-    if not touched:
-        return
+    touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # a number per bucket
     current = {v["bucket"]: v["slot"] for v in versions}
     free = {b: _SLOTS[1] if current.get(b) == _SLOTS[0] else _SLOTS[0] for b in touched}
-    old = [v for v in versions if v["bucket"] in free]
-    state = _rows_of(spark, warehouse, name, old) if old else None
-    merged = merge_dimension(state, incoming, key).select(*_state_schema(name).fieldNames())
+    merged = merged_rows(spark, warehouse, name, incoming, [v for v in versions if v["bucket"] in free], rows)
     slots = F.create_map(*[F.lit(x) for b, s in free.items() for x in (b, s)])
     (merged.withColumn("bucket", bucket).withColumn("slot", slots[F.col("bucket")])
-     .repartition(len(touched), "bucket")
+     .hint("rebalance", F.col("bucket"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket", "slot").parquet(f"{warehouse}/{name}/rows"))
     lines = F.array(*[F.struct(F.lit(load).cast("long").alias("loadNo"), F.lit(b).alias("bucket"), F.lit(s).alias("slot"),
