@@ -109,14 +109,14 @@ def merge_into_dimension(spark: SparkSession, warehouse: str, name: str, incomin
     path = scratch_path(spark, f"incoming-{name}")
     incoming.select(*_state_schema(name).fieldNames()).write.parquet(path)
     incoming = spark.read.schema(_state_schema(name)).parquet(path)
-    rows = incoming.count()
-    if not rows:
-        return
     versions = _versions(spark, warehouse, name)
-    buckets = versions[0]["buckets"] if versions else max(BUCKETS[name], -(-rows // BUCKET_ROWS))
+    buckets = versions[0]["buckets"] if versions else max(BUCKETS[name], -(-incoming.count() // BUCKET_ROWS))
     load = max((v["loadNo"] for v in versions), default=0) + 1
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # a number per bucket
+    counts = {r[0]: r[1] for r in incoming.groupBy(bucket.alias("of")).count().collect()}  # a row per bucket
+    touched, rows = sorted(counts), sum(counts.values())
+    if not touched:
+        return
     current = {v["bucket"]: v["slot"] for v in versions}
     free = {b: _SLOTS[1] if current.get(b) == _SLOTS[0] else _SLOTS[0] for b in touched}
     merged = merged_rows(spark, warehouse, name, incoming, [v for v in versions if v["bucket"] in free], rows)
