@@ -15,7 +15,8 @@ ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # rows that operators hold while they work on a batch
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ The same functions serve a table and a stream.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwatch.functions import text as T
 from shelfwatch.functions.time import partition_date
-from shelfwatch.operators.selectors import Selector, select_texts
+from shelfwatch.operators.selectors import PLAIN_PATH, SITE, Selector, select_texts
 from shelfwatch.schemas import CRAWL_ROW, conform
 
 # Where the product page of the crawled shop keeps each field.
@@ -139,6 +140,37 @@ def to_lake_rows(rows: DataFrame, zone: str | None = None) -> DataFrame:
     return rows.withColumn("date", partition_date(F.col("timestamp"), zone))
 
 
+# A piece of the simplest markup: lower-case names, values in double quotes, no references, nothing whose content is not markup.
+# A value that ends in "=" is left out, so that =" stands in front of values only.
+_SIMPLE_MARKUP = (
+    r"""<(?:!(?i:doctype)[^<>"'\[\]]*+|title>[^<]*+</title|/[a-z][a-z0-9]*+"""
+    r"|(?!(?:script|style|plaintext|title|textarea|xmp|iframe|noembed|noframes)[ />])[a-z][a-z0-9]*+"
+    r"""(?: [a-z-]++="[^"<>&]*+(?<!=)"){0,30}+ ?/?)>""")
+
+
+def simple_hrefs(html: Column, class_token: str | None = None) -> Column:
+    """The hrefs of a page that is simple markup throughout, empty ones left out; NULL for any other page."""
+    if class_token is not None and '"' in class_token:
+        return F.lit(None).cast("array<string>")
+    # Of equal names the last counts, hence the atomic groups.
+    wanted = "" if class_token is None else rf'(?=(?>[^>]* class=")[^"]*{re.escape(class_token)})'
+    hrefs = F.regexp_extract_all(html, F.lit(rf'<a(?= ){wanted}(?>[^>]* href=")([^"]+)"'), F.lit(1))
+    return F.when(F.instr(F.regexp_replace(html, _SIMPLE_MARKUP, ""), "<") == 0, hrefs)
+
+
+def simple_links(pages: DataFrame, page: str, html: str, class_token: str | None, resolve: bool) -> DataFrame:
+    """JVM path of ``extract_links``: the pages with ``_ready``, the links of a page that is simple markup throughout; NULL for
+    any other page. With ``resolve``, links are made absolute, and one that is no plain address makes the page not simple."""
+    read = pages.select(page, html, simple_hrefs(F.col(html), class_token).alias("_ready"))
+    if not resolve:
+        return read
+    site = F.regexp_extract(F.col(page), rf"^({SITE})(?:/|\z)", 1)
+    plain = F.forall("_ready", lambda h: h.rlike(rf"^(?:{SITE})?{PLAIN_PATH}\z"))
+    absolute = F.transform("_ready", lambda h: F.when(h.startswith("/"), F.concat("_site", h)).otherwise(h))
+    read = read.select(page, html, "_ready", site.alias("_site"))
+    return read.select(page, html, F.when(plain & (F.col("_site") != ""), absolute).alias("_ready"))
+
+
 def extract_links(
     pages: DataFrame,
     page: str = "url",
@@ -148,11 +180,14 @@ def extract_links(
 ) -> DataFrame:
     """Link targets ``(page, href)`` of anchors whose class contains a token; empty ones skipped.
 
-    ``class_token=None`` takes every anchor. ``resolve`` makes relative links absolute.
+    ``class_token=None`` takes every anchor. ``resolve`` makes relative links absolute. Pages of the simplest markup are read
+    by Column expressions; their text does not travel to Python.
     """
     anchor = (Selector("a", take="attribute", name="href") if class_token is None
               else Selector("a", "class", token=class_token, take="attribute", name="href"))
-    raw = select_texts(pages, {"hrefs": anchor}, html=html, keep=(page,), base=page if resolve else None)
+    read = simple_links(pages, page, html, class_token, resolve)
+    left = read.select(page, F.when(F.col("_ready").isNull(), F.col(html)).alias("_html"), "_ready")
+    raw = select_texts(left, {"hrefs": anchor}, html="_html", keep=(page,), base=page if resolve else None, ready="_ready")
     links = raw.select(F.col(page).alias("page"), F.explode("hrefs").alias("href"))
     return links.where(F.col("href") != "")
 

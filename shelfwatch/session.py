@@ -14,8 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Pages are large: keep Arrow batches small so a Python worker holds few of them.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Pages may be large or small: Arrow batches are bounded in bytes, so a Python worker holds few large ones.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
