@@ -69,9 +69,10 @@ def merge_streamed(current: DataFrame, incoming: DataFrame, key: str, few: bool
     """``merge_dimension`` for a large state and few incoming rows, both with one row per key, without an aggregate.
 
     The state is only ever the streamed side of joins with incoming rows. With ``few``, which the caller has counted, these are
-    broadcast, and so are the ones of them that the state knows: the state is not shuffled.
+    broadcast, and so are the ones of them that the state knows: the state is not shuffled. More are joined by sorting, as the
+    optimizer would take the size of their files, packed, for that in memory and send them through the driver, too.
     """
-    side = F.broadcast if few else (lambda df: df)
+    side = F.broadcast if few else (lambda df: df.hint("merge"))
     attributes = [c for c in incoming.columns if c != key]
     order = [SEEN, *[c for c in attributes if c != SEEN]]
     new = incoming.select(F.col(key).alias("_key"), F.struct(*order).alias("_new"))

@@ -44,7 +44,7 @@ def read_fact(spark: SparkSession, warehouse: str) -> DataFrame:
 # a bucket that has grown is written by several tasks.
 BUCKETS = {"brandDim": 4, "sellerDim": 4, "productDim": 16}
 BUCKET_ROWS = 500_000
-BROADCAST_ROWS = 1_000_000  # incoming rows of a load
+BROADCAST_ROWS = 20_000  # incoming rows of a load; a broadcast passes whole through the driver
 _SLOTS = ("a", "b")
 _COMMITS = "loadNo long, bucket int, slot string, buckets int"
 

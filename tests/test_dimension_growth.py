@@ -44,6 +44,18 @@ def test_old_rows_are_not_shuffled_by_the_merge(spark, tmp_path, monkeypatch):
     assert len(titles) == 60_010 and sum(t == "n" for t in titles.values()) == 20
 
 
+def test_many_incoming_rows_do_not_pass_through_the_driver(spark, tmp_path):
+    """Their files are small, packed as they are; the optimizer alone would broadcast them."""
+    path = str(tmp_path)
+    W.merge_into_dimension(spark, path, "productDim", products(spark, spark.range(0, 60_000, 1, 8), "t", 0))
+    products(spark, spark.range(50_000, 160_000), "new", 1).write.parquet(f"{path}/incoming")
+    incoming = spark.read.parquet(f"{path}/incoming")
+    merged = W.merged_rows(spark, path, "productDim", incoming, W._versions(spark, path, "productDim"), 110_000)
+    rows = merged.groupBy(F.substring("title", 1, 1).alias("t")).count()
+    assert {r["t"]: r["count"] for r in rows.collect()} == {"t": 50_000, "n": 110_000}
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streamed_merge_equals_merge(spark):
     rows = [("a", "x", 0), ("b", None, 1), ("c", "z", 1), ("d", "m", 2)], [("b", "y", 1), ("c", "w", 0), ("d", "n", 2), ("e", None, 5)]
     old, new = [spark.createDataFrame([(k, v, T0 + dt.timedelta(days=d)) for k, v, d in r], f"brand string, brandOrigin string, {D.SEEN} timestamp") for r in rows]
