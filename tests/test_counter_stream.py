@@ -67,3 +67,24 @@ def test_other_kinds_are_as_before(spark, tmp_path):
     write_series_stream(stream, str(tmp_path / "sums"), str(tmp_path / "state"), ONCE).awaitTermination()
     want = align_delta(spark.createDataFrame(rows, SCHEMA), ["host"]).where(F.col("timestamp") <= F.lit(rows[-1][2] - dt.timedelta(minutes=10)))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "sums")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_series_share_an_entry_of_state(spark, tmp_path):
+    """Long ids, with NULL among them, and lists as names; every series goes on from its own last value after a restart."""
+    schema = "id long, tags array<string>, ts timestamp, metric_value double"
+    # A series per id; each file has two buckets of each, in no order of time, and the second counts on from the first.
+    big = 2**60
+    rows = [[(None if i == 7 else big + i, [None, [], ["a, b"], ["a", "b"], [None]][i % 5], T0 + dt.timedelta(minutes=30 * part + m), float(i % 13 + (7 * i + 3 * part + m) % 5))
+             for m in (1, 0) for i in range(4000)] for part in range(3)]
+    source, path, state = (str(tmp_path / n) for n in ("source", "series", "state"))
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = align_stream(spark.readStream.schema(schema).parquet(source), ["id", "tags"], aligner="delta", kind="cumulative")
+        query = write_series_stream(stream, path, state, ONCE)
+        query.awaitTermination()
+    kept = [op.numRowsTotal for op in query.recentProgress[-1].stateOperators if "transformWithState" in op.operatorName]
+    assert len(kept) == 1 and 0 < kept[0] < 4000
+    want = align_delta(spark.createDataFrame(sum(rows, []), schema), ["id", "tags"], kind="cumulative").where(
+        F.col("timestamp") <= F.lit(T0 + dt.timedelta(minutes=60 + 1 - 10)))
+    got = spark.read.parquet(path).select(*want.columns)
+    assert got.count() == 16000 and want.exceptAll(got).isEmpty()
