@@ -20,7 +20,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, columns_of, identified, without
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, before, columns_of, identified, pin, without
 from shelfwatch.session import scratch_path
 
 FILE_BYTES = 128 << 20
@@ -145,7 +145,8 @@ def write_shards(assigned: DataFrame, total_bytes: int, path: str, file_bytes: i
 
 
 def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The rows of the files with shard and slot: the place in the shard, by file number and place in the file."""
+    """The rows of the files with shard and slot: the place in the shard, by file number and place in the file.
+    The files' starts are written down, so the join knows that they are few and leaves the texts where they are."""
     files = spark.read.schema(schema).parquet(path)
     rows = files.select(*columns_of(files), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__in"))
     number = F.regexp_extract("__file", "^part-(\\d+)", 1).cast("long")
@@ -153,7 +154,7 @@ def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
     earlier = Window.partitionBy("shard").orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("shard").alias("__s"), F.col("__file").alias("__f"),
                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    joined = rows.join(counts, (F.col("shard") == F.col("__s")) & (F.col("__file") == F.col("__f")))
+    joined = rows.join(pin(counts, "starts"), (F.col("shard") == F.col("__s")) & (F.col("__file") == F.col("__f")))
     return joined.select(*[c for c in columns_of(files)], (F.col("__start") + F.col("__in")).cast("long").alias("slot"))
 
 

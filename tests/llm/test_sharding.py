@@ -82,3 +82,11 @@ def test_copies_without_id_are_cut(spark, tmp_path):
     sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * max(len(t) + 1 for _, t in rows)
     assert out.where("doc_id IS NULL").select("shard").distinct().count() >= 2
+
+
+def test_reading_shards_back_shuffles_no_texts(spark):
+    """Only the write shuffles texts: the plan over the files joins them with the starts without an exchange."""
+    docs = spark.createDataFrame([(i, prose(30, i), f"s{i % 3}") for i in range(500)], "doc_id long, text string, source string")
+    out = sharding.reshard(docs, F.pmod(F.crc32("source"), F.lit(6)), 6, 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and out.count() == 500
