@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfwatch.llm.common import pin
+from shelfwatch.llm.common import joinable, pin
 
 
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,7 +19,7 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     rounds = []
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
+        step = joinable(pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step"))
         rounds.append(step)
         to_a, to_b = step.select(F.col("node").alias("a"), F.col("to").alias("na")), step.select(F.col("node").alias("b"), F.col("to").alias("nb"))
         links = pin(links.join(to_a, "a").join(to_b, "b").where("na <> nb")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, identified, pin, shield
+from shelfwatch.llm.common import ROW_FILE, ROW_INDEX, identified, joinable, pin, shield
 from shelfwatch.llm.components import connected
 
 HASHES, BITS = 128, 4  # lanes of BITS bits fill eight words
@@ -145,7 +145,8 @@ def sketches(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 def clusters(classes: DataFrame) -> DataFrame:
     """(id, cluster) of the classes that share a band key with another one."""
-    banded = classes.select("id", F.explode("bands").alias("key"))
+    # By sorting: after an explode the optimizer counts an array of bands as one, and would broadcast all of them.
+    banded = classes.select("id", F.explode("bands").alias("key")).hint("merge")
     shared = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("other")).where("center <> other")
     stars = banded.join(shared.select("key", "center"), "key").where("id <> center").select("id", "center")
     return connected(stars, "id", "center").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
@@ -255,9 +256,10 @@ def confirmed(members: DataFrame, matcher) -> DataFrame:
     takes a pandas frame of them and says what is near and what is linked, as ``TextMatcher`` does.
     """
     shape = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_shingles").alias("__s"))
-    shape = pin(shape.select("cluster", _blocks("__n", "__s").alias("blocks")), "shapes")  # its size is known, so texts need not move for it
+    # Of large clusters only, so few rows of known size: texts need not move for it.
+    shape = pin(shape.select("cluster", _blocks("__n", "__s").alias("blocks")).where("blocks > 1"), "shapes")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(shape, "cluster").withColumn("block", block)
+    dealt = members.join(shape, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block)
     # Block 0 meets every block; any other meets itself and block 0 at its own place. Clusters of one
     # block share tasks, about BLOCK_ROWS rows in each.
     own = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -267,7 +269,7 @@ def confirmed(members: DataFrame, matcher) -> DataFrame:
     first = (dealt.withColumn("at", F.explode(own)).withColumn("label", F.col("id")).withColumn("side", F.lit(0))
              .groupBy(group.alias("group"), "at").applyInPandas(_compare(matcher, False), "a long, b long"))
     first = pin(first, "links")
-    large = pin(members.join(shape.where("blocks > 1").select("cluster"), "cluster"), "large")
+    large = pin(members.join(shape.select("cluster"), "cluster"), "large")
     if large.isEmpty():
         return first
     return first.unionByName(_rest(large, first, matcher))
@@ -275,7 +277,7 @@ def confirmed(members: DataFrame, matcher) -> DataFrame:
 
 def _rest(large: DataFrame, first: DataFrame, matcher) -> DataFrame:
     """What is outside the largest component of its cluster, compared with the whole cluster."""
-    roots = connected(first, "a", "b")
+    roots = joinable(connected(first, "a", "b"))
     labelled = pin(large.join(roots.withColumnRenamed("node", "id"), "id", "left")
                    .withColumn("label", F.coalesce("root", "id")).drop("root"), "labelled")
     sums = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
@@ -308,17 +310,17 @@ def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
     sketched = pin(sketches(rows, size, percent), "sketches")
     classes = sketched.where("words IS NOT NULL").dropDuplicates(["words"])
     classes = pin(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    grouped = clusters(classes)
+    grouped = joinable(clusters(classes))
     wanted = classes.select("id", "n_shingles", "sig", ROW_FILE, ROW_INDEX).join(grouped, "id")
     members = pin(wanted.join(rows.select(ROW_FILE, ROW_INDEX, "text"), [ROW_FILE, ROW_INDEX]).drop(ROW_FILE, ROW_INDEX), "members")
-    roots = connected(confirmed(members, lambda block: TextMatcher(block, size, percent)), "a", "b")
+    roots = joinable(connected(confirmed(members, lambda block: TextMatcher(block, size, percent)), "a", "b"))
     named = classes.select("id", "words").join(roots.withColumnRenamed("node", "id"), "id").select("words", "root")
     plain = sketched.select(ROW_FILE, ROW_INDEX, "doc_id", "n_shingles", "words").join(named, "words", "left")
     # A component is named by its root class, a class without links by itself.
     plain = pin(plain.withColumn("__component", F.coalesce(F.col("root").cast("string"), F.hex("words"))).drop("root"), "labelled")
     # Written down, so that the join can split a component that holds most documents.
     least = pin(plain.where("__component IS NOT NULL").groupBy("__component").agg(F.min("doc_id").alias("component_id")), "least")
-    out = plain.join(least, "__component", "left")
+    out = plain.join(joinable(least), "__component", "left")
     out = out.withColumn("component_id", F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -331,4 +333,4 @@ def dedupe(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Rows that share the smallest doc_id: one stays, whatever their number.
     best = found.where("words IS NOT NULL").groupBy("__component").agg(F.min(F.struct(ROW_FILE, ROW_INDEX)).alias("r"))
     stay = best.select("r.*").unionByName(found.where("words IS NULL").select(ROW_FILE, ROW_INDEX))
-    return back(rows.join(stay, [ROW_FILE, ROW_INDEX], "left_semi"))
+    return back(rows.join(joinable(found, stay), [ROW_FILE, ROW_INDEX], "left_semi"))

@@ -6,7 +6,7 @@ import pytest
 from odd import documents, empty, prose
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import near_dups
+from shelfwatch.llm import common, components, near_dups
 
 
 def sets(text, size):
@@ -109,3 +109,23 @@ def test_links_are_not_pairs(spark):
 
 def test_banding_holds_the_bound():
     assert near_dups.banding(85) == (25, 5) and near_dups.banding(80) == (32, 4)
+
+
+def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
+    """A table of bands is many times what the optimizer takes it for after the explode."""
+    classes = near_dups.pin(spark.range(300).withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.xxhash64(F.floor(F.col("id") / 3), i))), "classes")
+    plans = []
+    monkeypatch.setattr(near_dups, "connected", lambda links, a, b: plans.append(links._jdf.queryExecution().toString()) or components.connected(links, a, b))
+    found = {(r["id"], r["cluster"]) for r in near_dups.clusters(classes).collect()}
+    assert found == {(i, i // 3 * 3) for i in range(300)}
+    assert "BroadcastExchange" not in plans[0] and "SortMergeJoin" in plans[0]
+
+
+def test_large_written_tables_are_joined_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    plans = []
+    monkeypatch.setattr(components, "pin", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or common.pin(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components.connected(links, "a", "b").collect()} == {(i, i // 10 * 10) for i in range(40)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+    check(documents(spark, [(100 + i, t, "en", "a") for i, t in enumerate(edits(prose(120, 50), 6, 0.01, 1))]), 3, 85)
