@@ -9,10 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from shelfwatch.session import scratch_path, tune
+from shelfwatch.session import joinable, scratch_path, tune  # noqa: F401
 
 ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
-BROADCAST_ROWS = 500_000  # about 100 MB as a hashed table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +26,6 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joinable(written: DataFrame, part: DataFrame | None = None) -> DataFrame:
-    """``written``, a written table, or ``part`` of it as a join's side: up to ``BROADCAST_ROWS`` rows the optimizer may broadcast it,
-    more are joined by sorting, as the size of packed files says little of the memory that rows take in the driver."""
-    part = written if part is None else part
-    return part if written.count() <= BROADCAST_ROWS else part.hint("merge")
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that a result is about to bring, whatever their case."""
     taken = {n.lower() for n in names}

@@ -20,6 +20,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from shelfwatch.operators.snapshot import latest_snapshot
 from shelfwatch.schemas import SNAPSHOT_FACT
+from shelfwatch.session import joinable
 from shelfwatch.sources.slots import current_parts, read_parts, replace_parts
 
 OPEN = "9999-12-31"
@@ -64,15 +65,16 @@ def update_validity(fact_day: DataFrame, warehouse: str, day: date | str) -> Non
         "urlId", F.coalesce("_next", _day(OPEN)).alias("_next"), F.coalesce("_new", F.lit(False)).alias("_new"))
     plan = plan.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        old = near.where(F.col("date") <= at).join(plan, "urlId")  # what is replaced: the rows before the day and those of it
+        touches = joinable(plan)  # kept in columns, sorted keys take a byte or two each, and many times that in a broadcast
+        old = near.where(F.col("date") <= at).join(touches, "urlId")  # what is replaced: the rows before the day and those of it
         ended = old.where(before).withColumn("validTo", F.when(F.col("_new"), at).otherwise(F.col("_next"))).select(*VALIDITY.fieldNames())
-        started = own.join(plan, "urlId").withColumn("validTo", F.col("_next")).select(*VALIDITY.fieldNames())
+        started = own.join(touches, "urlId").withColumn("validTo", F.col("_next")).select(*VALIDITY.fieldNames())
         changed = ended.unionByName(started).persist(StorageLevel.MEMORY_AND_DISK)
         gone = {str(r[0]) for r in old.select("validTo").distinct().collect()}
         come = {str(r[0]) for r in changed.select("validTo").distinct().collect()}
         rewritten = {p: r for p, r in parts.items() if p in gone | come}
         held = read_parts(spark, root, VALIDITY, "validTo", rewritten)
-        stays = held.where(F.col("date") > at).unionByName(held.where(F.col("date") <= at).join(plan.select("urlId"), "urlId", "left_anti"))
+        stays = held.where(F.col("date") > at).unionByName(held.where(F.col("date") <= at).join(touches.select("urlId"), "urlId", "left_anti"))
         rows = stays.unionByName(changed)
         filled = {str(r[0]) for r in rows.select("validTo").distinct().collect()}
         replace_parts(rows, root, "validTo", filled, emptied=gone - filled, sort=("urlId",))

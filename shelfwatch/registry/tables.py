@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch.functions.text import normalize_url
-from shelfwatch.session import tune
+from shelfwatch.session import joinable, tune
 from shelfwatch.sources.points import metric_type_of
 
 
@@ -67,11 +67,14 @@ def seller_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("sellerId"), F.col("s_name").alias("seller"))
 
 
-def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full crawl rows: snapshots with the texts of their product and seller."""
+def crawl_rows(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Full crawl rows: snapshots with the texts of their product and seller. With ``most``, products and sellers are counted, and
+    more of them than that are joined by sorting: of a read of keys alone the optimizer may take millions for few bytes."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
     suppliers = table(spark, sf_dir, "supplier")
+    if most is not None:
+        parts, suppliers = joinable(parts, rows=most), joinable(suppliers, rows=most)
     joined = (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
               .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")))
     return joined.select(

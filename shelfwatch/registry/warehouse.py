@@ -8,7 +8,7 @@ from shelfwatch.operators import dimensions as D
 from shelfwatch.operators.snapshot import latest_snapshot, snapshot_change
 from shelfwatch.plans.daily_load import run_daily
 from shelfwatch.plans.reports import top_sold_brands, top_sold_sellers
-from shelfwatch.plans.validity import snapshots_valid, update_validity
+from shelfwatch.plans.validity import COLUMNS as VALID_COLUMNS, snapshots_valid, update_validity
 from shelfwatch.registry import query
 from shelfwatch.registry.tables import (
     FACT_ORDER,
@@ -26,6 +26,8 @@ from shelfwatch.session import scratch_path
 from shelfwatch.sources.lake import append_lake, read_day
 from shelfwatch.sources.warehouse import overwrite_table, read_dimension, read_fact
 
+MOST_KEYS = 1_500_000  # products or sellers that may be broadcast
+
 _SQL_SNAPSHOT = f"url_id, seller_id, sold, price, {sql_stamp('ts')} AS ts"
 
 
@@ -240,8 +242,11 @@ SELECT {name}, CAST(sum(sold) AS BIGINT) AS sold FROM newest GROUP BY {name} ORD
 
 def _kept_validity(spark, d):
     """The table after loading every year, the middle one last and one of them twice; and the names of brands and sellers."""
-    rows = D.derive_keys(crawl_rows(spark, d)).withColumn("date", F.to_date(F.date_trunc("year", F.col("timestamp"))))
-    fact_rows = D.snapshot_fact(rows)
+    rows = D.derive_keys(crawl_rows(spark, d, most=MOST_KEYS)).withColumn("date", F.to_date(F.date_trunc("year", F.col("timestamp"))))
+    # Written down, so that a load reads its year and does not join all products and sellers again.
+    fact_rows, path = D.snapshot_fact(rows).select(*VALID_COLUMNS), scratch_path(spark, "fact")
+    fact_rows.write.partitionBy("date").parquet(path)
+    fact_rows = spark.read.schema(fact_rows.schema).parquet(path)
     years = sorted(r["date"] for r in fact_rows.select("date").distinct().collect())
     warehouse = scratch_path(spark, "warehouse")
     for year in [*years[:2], *years[3:], *years[2:3], *years[:1]]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+BROADCAST_ROWS = 500_000  # about 100 MB as a hashed table
 
 # Runtime settings the operators rely on; all can be changed on a live session.
 RUNTIME_CONF = {
@@ -49,3 +51,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="shelfwatch-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def joinable(counted: DataFrame, part: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """``counted``, a table that is quickly counted, or ``part`` of it as a join's side: up to ``rows`` rows the optimizer may
+    broadcast it, more are joined by sorting, as the size of packed files says little of the memory that rows take in the driver."""
+    part = counted if part is None else part
+    return part if counted.count() <= (BROADCAST_ROWS if rows is None else rows) else part.hint("merge")

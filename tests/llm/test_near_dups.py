@@ -6,6 +6,7 @@ import pytest
 from odd import documents, empty, prose
 from pyspark.sql import functions as F
 
+from shelfwatch import session
 from shelfwatch.llm import common, components, near_dups
 
 
@@ -122,7 +123,7 @@ def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
 
 
 def test_large_written_tables_are_joined_by_sorting(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     plans = []
     monkeypatch.setattr(components, "pin", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or common.pin(df, name))
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a long, b long")

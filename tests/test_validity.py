@@ -6,9 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwatch.operators.dimensions import snapshot_fact
+from shelfwatch import session
+from shelfwatch.operators.dimensions import brand_dim, derive_keys, snapshot_fact
 from shelfwatch.plans import reports as R
 from shelfwatch.plans.validity import COLUMNS, OPEN, snapshots_valid, update_validity
+from shelfwatch.registry import warehouse as registered
+from shelfwatch.registry.tables import crawl_rows
 from shelfwatch.sources import slots, warehouse as W
 
 D0 = dt.date(2026, 1, 1)
@@ -102,3 +105,30 @@ def test_day_filters_prune_folders(spark, tmp_path):
     assert {str(r["date"]) for r in one.collect()} == {str(D0)}
     assert "PartitionFilters: [" in one._jdf.queryExecution().executedPlan().toString()
     assert W.read_fact(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_loads_read_their_year_and_broadcast_no_products(spark, tmp_path, monkeypatch):
+    """Millions of keys are few bytes in a file and hundreds of megabytes in the driver."""
+    d = str(tmp_path)
+    spark.range(20).selectExpr("id AS p_partkey", "concat('p', id) AS p_name", "concat('b', id % 3) AS p_brand", "'t' AS p_type", "1 AS p_size",
+                               "1.0D AS p_retailprice").write.parquet(f"{d}/part.parquet")
+    spark.range(4).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").write.parquet(f"{d}/supplier.parquet")
+    spark.range(400).selectExpr("id AS l_orderkey", "id % 23 AS l_partkey", "id % 5 AS l_suppkey", "1 AS l_linenumber", "CAST(id % 7 AS double) AS l_quantity",
+                                "1.0D AS l_extendedprice", "0.1D AS l_discount", "0.1D AS l_tax", "'r' AS l_returnflag", "'o' AS l_linestatus",
+                                "timestamp'1992-03-01 00:00:00' + make_interval(id % 6, id % 5) AS l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    want = R.top_sold_brands(*registered_rows(spark, d), 10).collect()
+    assert len(want) == 3
+    monkeypatch.setattr(registered, "MOST_KEYS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    days = []
+    monkeypatch.setattr(registered, "update_validity", lambda rows, *a: days.append(rows._jdf.queryExecution().toString()) or update_validity(rows, *a))
+    report = registered.top_sold_brands_valid(spark, d)
+    assert report.collect() == want
+    assert len(days) == 7 and not any("partkey" in plan for plan in days)
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_" not in plan
+
+
+def registered_rows(spark, d):
+    rows = derive_keys(crawl_rows(spark, d)).withColumn("date", F.to_date("timestamp"))
+    return rows, brand_dim(rows)
